@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import binary_ids, common, packing
+from tessera.llm import binary_ids, common, line_dedup, packing, quality_rules
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -20,6 +21,34 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(_table(spark, sf_dir, "documents"), BYTE_BPE))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP3_SQL = """
+WITH lines AS (
+    SELECT doc_id, i, split[i] AS line,
+           translate(trim(split[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM (SELECT doc_id, split, unnest(range(1, len(split) + 1)) AS i
+          FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS split FROM documents))
+), shared AS (
+    SELECT key, min(doc_id) AS owner FROM lines WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+), marked AS (
+    SELECT l.doc_id, l.i, l.line, s.owner IS NOT NULL AND s.owner <> l.doc_id AS dropped
+    FROM lines l LEFT JOIN shared s ON l.key = s.key
+)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE dropped) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.apply_rules(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
 def op7_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch_path(spark, "segments")
     binary_ids.write_segments(_table(spark, sf_dir, "documents"), BYTE_BPE, path)
@@ -27,8 +56,8 @@ def op7_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op7_binary_ids)}
+    return {f.__name__: f for f in (op1_packing, op3_line_dedup, op5_quality_rules, op7_binary_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": OP3_SQL}
