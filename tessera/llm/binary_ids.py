@@ -37,6 +37,8 @@ from tessera.llm.encoder import Encoder
 END_ID = 2
 #: Ids after which a segment is closed.
 SEGMENT_IDS = 2_000_000
+#: Places of up to so many segments, 24 bytes each, are broadcast; more are joined by a shuffle.
+SMALL_SEGMENTS = 500_000
 
 SEGMENTS = "part long, segment long, n_docs long, n_ids long, data binary"
 _HEAD = struct.Struct("<4sBBHQQQq")
@@ -140,5 +142,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
         return step
 
+    if segments.count() <= SMALL_SEGMENTS:
+        places = F.broadcast(places)
     placed = segments.join(places, ["part", "segment"]).select("data", "base")
     return common.map_batches(placed, make, "doc_id long, start long, n_tokens long, ids_crc32 long")
