@@ -1,10 +1,12 @@
 """Byte-level BPE ids of whole texts, by the ``tokenizers`` library with a word cache.
 
-BPE never merges across the pieces of the pre-tokenizer, so the ids of a text
-are the ids of its pieces, one after the other.  Natural texts repeat their
-pieces: each worker keeps the ids of those that it has met, as bytes, and asks
-the library only about new ones, thousands in one call.  A text with characters
-whose class may differ between regex engines goes to the library whole.
+The pre-tokenizer of byte-level BPE never joins a lone blank to what stands
+before it, and BPE never merges across its pieces.  So a text without runs of
+blanks can be cut before every blank and around every line break, and the ids
+of the parts, one after the other, are the ids of the text.  Natural texts
+repeat their parts: each worker keeps the ids of those that it has met, as
+bytes, and asks the library only about new ones, many in one call.  Texts with
+other white space next to a cut go to the library whole.
 """
 
 from __future__ import annotations
@@ -12,16 +14,15 @@ from __future__ import annotations
 import json
 
 import numpy as np
-import regex
 from tokenizers import Tokenizer
 
-#: Fixed value: the pre-tokenizer pattern of the byte-level vocabulary.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters whose classes are beyond doubt: printable ASCII, three kinds of white space, Latin letters.
-ODD = regex.compile(r"[^\n\t\r\x20-\x7eÀ-ÖØ-öø-ſ]")
-#: Pieces that a worker keeps; beyond it the cache starts anew.
-CACHE_PIECES = 1_500_000
-#: New pieces that are joined into one text for the library.
+#: Stands before a part that has no blank before it.
+BARE = "\x01"
+#: Parts that a worker keeps; beyond it the cache starts anew.
+CACHE_PARTS = 1_000_000
+#: Longer parts are forgotten after their batch.
+LONG = 60
+#: New parts that are joined into one text for the library.
 JOINED = 160
 
 _encoders: dict[str, Encoder] = {}
@@ -33,12 +34,14 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pieces = regex.compile(PATTERN)
-        self.cache: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as file:
             pre = json.load(file).get("pre_tokenizer") or {}
-        self.cached = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and self.tokenizer.normalizer is None
-        self.newline = int(np.frombuffer(self._whole("\n"), "<u4")[0]) if self.cached else -1
+        self.cached = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and self.tokenizer.normalizer is None
+        self.newline = self._each(["\n"])[0]
+        self.line = int(np.frombuffer(self.newline, "<u4")[0])
+        self.marks = dict(zip(".,", self._each([".", ","])))
+        self.empty = {"\n": self.newline, BARE: b""}
+        self.cache = dict(self.empty)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -47,40 +50,81 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Put the ids of new pieces into the cache.
+    def _learn(self, new: set[str]) -> None:
+        """Put the ids of new parts into the cache.
 
-        Pieces of a blank and letters stay pieces when they are joined by line
-        breaks, so a single call encodes them all and the line break's id
-        parts them again; other pieces are encoded one by one.
+        A word before a full stop or comma is looked up without it.  Words of
+        letters alone stay pieces when line breaks join them, so one call
+        encodes many and the line break's id parts them again; other parts are
+        encoded one by one.  Parts with white space at an end stay unknown.
         """
-        plain = [p for p in new if p[0] == " " and p[1:].isalpha()]
-        rest = [p for p in new if not (p[0] == " " and p[1:].isalpha())]
-        self.cache.update(zip(rest, self._each(rest)))
-        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        for some, raw in zip(groups, self._each(["\n".join(g) for g in groups])):
-            ids = np.frombuffer(raw, "<u4")
-            cuts = np.flatnonzero(ids == self.newline)
+        cache, marks = self.cache, self.marks
+        words = [p for p in new if p.isalpha()]
+        other = [p for p in new if not p.isalpha() and not (p[0].isspace() or p[-1].isspace() or p[1:2].isspace())]
+        ends = [p for p in other if p[-1] in marks and p[:-1].isalpha()]
+        words.extend({p[:-1] for p in ends}.difference(cache, words))
+        self._learn_joined(words, "\n ", " ")
+        for p in ends:
+            cache[p] = cache[p[:-1]] + marks[p[-1]]
+        other = [p for p in other if p not in cache]
+        self._learn_joined([p for p in other if p[0] == BARE and p[1:].isalpha()], "\n", "")
+        rest = [p for p in other if p not in cache]
+        cache.update(zip(rest, self._each([p[1:] if p[0] == BARE else " " + p for p in rest])))
+
+    def _learn_joined(self, words: list[str], between: str, before: str) -> None:
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        texts = [before + between.join(g).replace(BARE, "") for g in groups]
+        for some, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            raw = ids.tobytes()
+            cuts = np.flatnonzero(ids == self.line) * 4
             if len(cuts) != len(some) - 1:
                 raise AssertionError("the vocabulary joins line breaks with letters")
-            starts, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]
-            self.cache.update((p, raw[a:b]) for p, a, b in zip(some, starts, ends))
-
-    def _each(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            starts, stops = (cuts + 4).tolist(), cuts.tolist()
+            starts.insert(0, 0)
+            stops.append(len(raw))
+            self.cache.update(zip(some, [raw[a:b] for a, b in zip(starts, stops)]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; an empty text has none."""
         if not self.cached:
             return self._each(texts)
-        whole = [ODD.search(text) is not None for text in texts]
-        split = [[] if odd else self.pieces.findall(text) for text, odd in zip(texts, whole)]
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        if new := set().union(*split).difference(self.cache):
-            self._learn(list(new))
-        ids = self.cache.__getitem__
-        return [self._whole(text) if odd else b"".join(map(ids, some)) for text, odd, some in zip(texts, whole, split)]
+        known = self.cache.get
+        out: list[bytes | None] = []
+        open_: list[tuple[int, list[str], list, list[int]]] = []
+        new: set[str] = set()
+        for k, text in enumerate(texts):
+            if BARE in text or "  " in text or " \n" in text or "\n\n\n" in text or "\n\n " in text or text.endswith((" ", "\n\n")):
+                out.append(None)
+                continue
+            parts = (BARE + text.replace("\n", " \n " + BARE)).split(" ")
+            ids = list(map(known, parts))
+            gaps = [i for i, x in enumerate(ids) if x is None]
+            if gaps:
+                new.update([parts[i] for i in gaps])
+                open_.append((k, parts, ids, gaps))
+                out.append(None)
+            else:
+                out.append(b"".join(ids))
+        if new:
+            if len(self.cache) > CACHE_PARTS:
+                self.cache = dict(self.empty)
+            self._learn(new)
+            known = self.cache.get
+            for k, parts, ids, gaps in open_:
+                for i in gaps:
+                    ids[i] = known(parts[i])
+                try:
+                    out[k] = b"".join(ids)
+                except TypeError:  # a part stayed unknown
+                    continue
+            for p in new:
+                if len(p) > LONG:
+                    self.cache.pop(p, None)
+        whole = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(whole, self._each([texts[k] for k in whole])):
+            out[k] = ids
+        return out
