@@ -15,10 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes that Spark hands to a Python worker at once: texts can be
-#: very long, so batches are kept far below the default of 10,000 rows.
+#: Rows that Spark hands to a Python worker at once: texts can be very long, so
+#: batches are kept far below the default of 10,000.
 BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
 
 #: The white space of every contract here: space and U+0009 to U+000D.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -26,12 +25,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Set the batch limits and, where the cluster names none, a checkpoint folder."""
+    """Set the batch limit and, where the cluster names none, a checkpoint folder."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    try:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    except Exception:  # noqa: BLE001 - older releases have no such setting
-        pass
     checkpoint_dir(spark)
 
 
