@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -226,18 +227,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     return out
 
 
+def _cleaner(shared: Broadcast):
+    def clean(texts: pd.Series) -> pd.Series:
+        out = np.ones(len(texts), bool)
+        out[np.array([m[0] for m in shared.value.matches(texts.tolist())], np.int64)] = False
+        return pd.Series(out)
+
+    return clean
+
+
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", rate: float = EDIT_RATE) -> DataFrame:
     """``docs`` without those that hold a benchmark item, in one pass for each block of items."""
     spark = docs.sparkSession
     common.prepare(spark)
     for index in item_blocks(benchmark, rate=rate):
-        shared = spark.sparkContext.broadcast(index)
-
-        def clean(texts: pd.Series, shared=shared) -> pd.Series:
-            out = np.ones(len(texts), bool)
-            out[[m[0] for m in shared.value.matches(texts.tolist())]] = False
-            return pd.Series(out)
-
-        kept: Column = F.pandas_udf(clean, "boolean")(F.col(f"`{text_col}`"))
+        kept: Column = F.pandas_udf(_cleaner(spark.sparkContext.broadcast(index)), "boolean")(F.col(f"`{text_col}`"))
         docs = docs.where(kept)
     return docs

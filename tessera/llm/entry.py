@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import binary_ids, chat_format, common, decontaminate, line_dedup, lm_score, packing, quality_rules, simhash, token_counts
+from tessera.llm import binary_ids, chat_format, common, crf_quality, decontaminate, line_dedup, lm_score, packing, quality_rules, simhash, token_counts
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_PIECES = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -92,6 +92,11 @@ def op7_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_ids.read_documents(spark, path)
 
 
+def op8_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return crf_quality.score_documents(docs, crf_quality.learn(docs, _table(spark, sf_dir, "labels")))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -124,7 +129,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_token_counts, op3_line_dedup, op4_lm_score, op5_quality_rules, op6_simhash, op7_binary_ids, op9_chat_format, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_packing, op2_token_counts, op3_line_dedup, op4_lm_score, op5_quality_rules, op6_simhash, op7_binary_ids, op8_crf_quality, op9_chat_format, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
