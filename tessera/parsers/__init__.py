@@ -1,0 +1,27 @@
+"""Readers of schema declarations: ``detect(path, text)`` and ``parse(path, text)``, pure and tolerant."""
+
+from __future__ import annotations
+
+from tessera.model import Parsed
+from tessera.parsers import dbml, engines, prisma, sql
+
+READERS = {m.KIND: m for m in (sql, dbml, prisma)}
+
+
+def parse_file(path: str, text: str, disabled: tuple[str, ...] = ()) -> list[Parsed]:
+    """What every reader that claims the file finds in it; an error becomes a warning, never a failure."""
+    out = []
+    for kind, reader in READERS.items():
+        if kind in disabled:
+            continue
+        try:
+            if reader.detect(path, text):
+                out.append(reader.parse(path, text))
+        except Exception as error:  # noqa: BLE001 - one file must not stop a scan
+            out.append(Parsed(path, kind, warnings=[(None, f"{kind} reader failed: {error}")]))
+    try:
+        if hints := engines.hints(path, text):
+            out.append(Parsed(path, "engines", engines=hints))
+    except Exception as error:  # noqa: BLE001
+        out.append(Parsed(path, "engines", warnings=[(None, f"engine detector failed: {error}")]))
+    return [p for p in out if not p.empty()]
