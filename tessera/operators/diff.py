@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ORDER = {"added": 0, "removed": 1, "changed": 2}
+ORDER = {"added": 0, "changed": 1, "removed": 2}
 
 
 def last_by_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:

@@ -34,7 +34,7 @@ def keyed_diff_summary(t: Tables) -> DataFrame:
 
 
 @query(
-    f"WITH {_STATES} SELECT o_orderkey, change, CAST(CASE change WHEN 'added' THEN 0 WHEN 'removed' THEN 1 ELSE 2 END AS INTEGER) AS change_rank, "
+    f"WITH {_STATES} SELECT o_orderkey, change, CAST(CASE change WHEN 'added' THEN 0 WHEN 'changed' THEN 1 ELSE 2 END AS INTEGER) AS change_rank, "
     "CASE WHEN change = 'changed' THEN 'o_totalprice' ELSE '' END AS attributes FROM rows WHERE change IS NOT NULL"
 )
 def keyed_diff_rows(t: Tables) -> DataFrame:
