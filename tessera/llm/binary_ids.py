@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common
 from tessera.llm.elias_fano import EliasFano, encode
-from tessera.llm.encoder import Encoder
+from tessera.llm.encoder import ENCODE_BYTES, Encoder
 
 END_ID = 2
 #: Ids after which a segment is closed.
@@ -107,8 +107,8 @@ def write_segments(
             data = build_segment([d for d, _ in held], [raw for _, raw in held], width)
             return pa.RecordBatch.from_pydict({"part": [part], "segment": [segment], "n_docs": [len(held)], "n_ids": [size], "data": [data]})
 
-        for batch in batches:
-            for doc_id, raw in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
+        for batch in common.gathered(batches, ENCODE_BYTES):
+            for doc_id, raw in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
                 held.append((doc_id, raw + end))
                 size += len(raw) // 4 + 1
                 if size >= segment_ids:

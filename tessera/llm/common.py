@@ -63,14 +63,27 @@ def lowered(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined up to about so many bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most_bytes:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def map_batches(
-    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, most_bytes: int = 0
 ) -> DataFrame:
-    """``mapInArrow`` with a function that is made once for each task."""
+    """``mapInArrow`` with a function that is made once for each task; batches are joined up to ``most_bytes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
+        for batch in gathered(batches, most_bytes) if most_bytes else batches:
             if batch.num_rows and (out := step(batch)) is not None and out.num_rows:
                 yield out
 

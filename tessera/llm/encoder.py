@@ -14,12 +14,18 @@ from __future__ import annotations
 import json
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+#: Texts with runs of white space that begin or end at a cut, or with the mark below.
+ODD = "\x01|  | \n|\n\n[\n ]| \\z|\n\n\\z"
 #: Stands before a part that has no blank before it.
 BARE = "\x01"
 #: Parts that a worker keeps; beyond it the cache starts anew.
 CACHE_PARTS = 1_000_000
+#: Bytes of text that are best encoded at once: the more, the fewer parts are distinct.
+ENCODE_BYTES = 12 << 20
 #: Longer parts are forgotten after their batch.
 LONG = 60
 #: New parts that are joined into one text for the library.
@@ -53,26 +59,25 @@ class Encoder:
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         """Put the ids of new parts into the cache.
 
-        A word before a full stop or comma is looked up without it.  Words of
-        letters alone stay pieces when line breaks join them, so one call
-        encodes many and the line break's id parts them again; other parts are
-        encoded one by one.  Parts with white space at an end stay unknown.
+        A word before a full stop or comma is looked up without it.  Parts stay
+        apart when line breaks join them, so one call encodes many and the line
+        break's id parts them again.  Parts with white space at an end would
+        not, and stay unknown.
         """
         cache, marks = self.cache, self.marks
         words = [p for p in new if p.isalpha()]
-        other = [p for p in new if not p.isalpha() and not (p[0].isspace() or p[-1].isspace() or p[1:2].isspace())]
+        other = [p for p in new if not p.isalpha()]
         ends = [p for p in other if p[-1] in marks and p[:-1].isalpha()]
         words.extend({p[:-1] for p in ends}.difference(cache, words))
+        rest = [p for p in other if not (p[-1] in marks and p[:-1].isalpha()) and not (p[0].isspace() or p[-1].isspace() or p[1:2].isspace())]
+        words.extend(p for p in rest if p[0] != BARE)
         self._learn_joined(words, "\n ", " ")
+        self._learn_joined([p for p in rest if p[0] == BARE], "\n", "")
         for p in ends:
             cache[p] = cache[p[:-1]] + marks[p[-1]]
-        other = [p for p in other if p not in cache]
-        self._learn_joined([p for p in other if p[0] == BARE and p[1:].isalpha()], "\n", "")
-        rest = [p for p in other if p not in cache]
-        cache.update(zip(rest, self._each([p[1:] if p[0] == BARE else " " + p for p in rest])))
 
     def _learn_joined(self, words: list[str], between: str, before: str) -> None:
         groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
@@ -88,43 +93,46 @@ class Encoder:
             stops.append(len(raw))
             self.cache.update(zip(some, [raw[a:b] for a, b in zip(starts, stops)]))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; an empty text has none."""
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """The ids of each text; an empty text has none.
+
+        Arrow cuts the texts, numbers the distinct parts and lays their ids end
+        to end; Python only sees each distinct part once a call.
+        """
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
         if not self.cached:
-            return self._each(texts)
-        known = self.cache.get
-        out: list[bytes | None] = []
-        open_: list[tuple[int, list[str], list, list[int]]] = []
-        new: set[str] = set()
-        for k, text in enumerate(texts):
-            if BARE in text or "  " in text or " \n" in text or "\n\n\n" in text or "\n\n " in text or text.endswith((" ", "\n\n")):
-                out.append(None)
-                continue
-            parts = (BARE + text.replace("\n", " \n " + BARE)).split(" ")
-            ids = list(map(known, parts))
-            gaps = [i for i, x in enumerate(ids) if x is None]
-            if gaps:
-                new.update([parts[i] for i in gaps])
-                open_.append((k, parts, ids, gaps))
-                out.append(None)
-            else:
-                out.append(b"".join(ids))
-        if new:
-            if len(self.cache) > CACHE_PARTS:
-                self.cache = dict(self.empty)
-            self._learn(new)
-            known = self.cache.get
-            for k, parts, ids, gaps in open_:
+            return self._each(texts.to_pylist())
+        out: list[bytes | None] = [None] * len(texts)
+        plain = np.flatnonzero(~pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False))
+        if len(plain):
+            marked = pc.binary_join_element_wise(BARE, pc.replace_substring(texts.take(pa.array(plain)), "\n", " \n " + BARE), "")
+            lists = pc.split_pattern(marked, " ")
+            coded = lists.flatten().dictionary_encode()
+            parts = coded.dictionary.to_pylist()
+            ids = list(map(self.cache.get, parts))
+            if gaps := [i for i, x in enumerate(ids) if x is None]:
+                if len(self.cache) > CACHE_PARTS:
+                    self.cache = dict(self.empty)
+                self._learn([parts[i] for i in gaps])
+                for i in gaps:
+                    ids[i] = self.cache.get(parts[i])
                 for i in gaps:
-                    ids[i] = known(parts[i])
-                try:
-                    out[k] = b"".join(ids)
-                except TypeError:  # a part stayed unknown
-                    continue
-            for p in new:
-                if len(p) > LONG:
-                    self.cache.pop(p, None)
-        whole = [k for k, ids in enumerate(out) if ids is None]
-        for k, ids in zip(whole, self._each([texts[k] for k in whole])):
-            out[k] = ids
+                    if len(parts[i]) > LONG:
+                        self.cache.pop(parts[i], None)
+            unknown = [i for i, x in enumerate(ids) if x is None]
+            codes = coded.indices.to_numpy()
+            bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            laid = pa.array([x or b"" for x in ids], pa.binary()).take(coded.indices)
+            ends = np.frombuffer(laid.buffers()[1], np.int32, len(laid) + 1, 4 * laid.offset)[bounds].tolist()
+            data = memoryview(laid.buffers()[2]) if laid.buffers()[2] else memoryview(b"")
+            whole = set()
+            if unknown:
+                whole = set((np.searchsorted(bounds, np.flatnonzero(np.isin(codes, unknown)), side="right") - 1).tolist())
+            for k, (doc, first, last) in enumerate(zip(plain.tolist(), ends, ends[1:])):
+                if k not in whole:
+                    out[doc] = bytes(data[first:last])
+        left = [k for k, x in enumerate(out) if x is None]
+        for k, x in zip(left, self._each([texts[k].as_py() for k in left])):
+            out[k] = x
         return out

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import common
-from tessera.llm.encoder import Encoder
+from tessera.llm.encoder import ENCODE_BYTES, Encoder
 
 LENGTH = 1024
 END_ID = 0
@@ -57,7 +57,7 @@ def pack(
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal upcoming
-            ids = [raw + end for raw in encoder.encode(batch.column(1).to_pylist())]
+            ids = [raw + end for raw in encoder.encode(batch.column(1))]
             tokens = np.array([len(raw) // 4 for raw in ids], np.int64)
             cuts = [piece_lengths(n, length) for n in tokens.tolist()]
             pieces = np.array([len(c) for c in cuts], np.int64)
@@ -78,7 +78,7 @@ def pack(
 
         return step
 
-    return common.map_batches(rows, make, SCHEMA)
+    return common.map_batches(rows, make, SCHEMA, ENCODE_BYTES)
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:
