@@ -40,11 +40,11 @@ from tessera.llm import common
 
 ALPHA = 0.4
 MIN_COUNT = 2
-#: Bytes of text after which a block is closed, and n-grams that a bucket should hold.
-BLOCK_BYTES = 12 << 20
-BUCKET_NGRAMS = 2_000_000
+#: Characters after which a block is closed, and n-grams that a bucket should hold.
+BLOCK_CHARS = 8 << 20
+BUCKET_NGRAMS = 1_000_000
 #: Words whose hash a worker keeps.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 
 BLOCKS = "block long, n_words long, n_ngrams long, data binary"
 SLICES = "bucket long, block long, data binary"
@@ -80,14 +80,18 @@ def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def build_block(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the distinct words, the words of all documents as numbers of these, and words for each document."""
+def word_hashes(text: str) -> np.ndarray:
     if len(_word_hash) > CACHE_WORDS:
         _word_hash.clear()
-    sizes = np.array([len(w) for w in words], np.int64)
-    hashes = np.fromiter((h for some in words for h in map(_word_hash.__getitem__, some)), np.uint64, int(sizes.sum()))
-    vocabulary, numbers = np.unique(hashes, return_inverse=True)
-    return vocabulary, numbers.astype(np.uint32), sizes.astype(np.uint32)
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    return np.fromiter(map(_word_hash.__getitem__, words), np.uint64, len(words))
+
+
+def build_block(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words, the words of all documents as numbers of these, and words for each document."""
+    sizes = np.array([len(h) for h in hashes], np.uint32)
+    vocabulary, numbers = np.unique(np.concatenate([*hashes, np.zeros(0, np.uint64)]), return_inverse=True)
+    return vocabulary, numbers.astype(np.uint32), sizes
 
 
 def ngrams(vocabulary: np.ndarray, numbers: np.ndarray, sizes: np.ndarray):
@@ -132,11 +136,11 @@ def score_block(totals: np.ndarray, word_at: np.ndarray, bigram_at: np.ndarray,
     return np.bincount(doc, log, minlength=len(sizes)), np.bincount(doc, backed, minlength=len(sizes)).astype(np.int64)
 
 
-def _make_blocks(block_bytes: int):
+def _make_blocks(block_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         ids: list[int | None] = []
-        words: list[list[bytes]] = []
+        words: list[np.ndarray] = []
         size = 0
 
         def close() -> pa.RecordBatch:
@@ -148,11 +152,10 @@ def _make_blocks(block_bytes: int):
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = text.encode("utf-8", "surrogatepass").lower()
                 ids.append(doc_id)
-                words.append(raw.split())
-                size += len(raw)
-                if size >= block_bytes:
+                words.append(word_hashes(text))
+                size += len(text)
+                if size >= block_chars:
                     yield close()
                     block, ids, words, size = block + 1, [], [], 0
         if ids:
@@ -231,13 +234,13 @@ def _score(corpus_words: int):
     return run
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_backoff`` and ``lm_score``, the mean log10 score of a word, of every document."""
     spark = docs.sparkSession
     common.prepare(spark)
     n_parts = common.partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    blocks = common.written(rows.mapInArrow(_make_blocks(block_bytes), BLOCKS), "lm-blocks", codec="none")
+    blocks = common.written(rows.mapInArrow(_make_blocks(block_chars), BLOCKS), "lm-blocks", codec="none")
     words, grams = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_ngrams"), F.lit(0))).first()
     buckets = 1 << max(0, max(2 * n_parts, grams // BUCKET_NGRAMS) - 1).bit_length()
     slices = blocks.select("block", "data").mapInArrow(_slice(buckets), SLICES)

@@ -118,7 +118,7 @@ def test_lm_scores(spark):
                 backed += i > 0
         want.append((r[0], len(d), backed, s / len(d) if d else None))
     for size in (200, 1 << 20):
-        got = rows_of(lm_score.score(frame(spark, rows).repartition(3), block_bytes=size), "doc_id", "n_words", "n_backoff", "lm_score")
+        got = rows_of(lm_score.score(frame(spark, rows).repartition(3), block_chars=size), "doc_id", "n_words", "n_backoff", "lm_score")
         for g, w in zip(got, sorted(want, key=lambda x: repr((x[0], x[1], x[2], None if x[3] is None else round(x[3], 6))))):
             assert g[:3] == w[:3] and (g[3] is None) == (w[3] is None) and (g[3] is None or abs(g[3] - w[3]) < 1e-5)
     assert lm_score.score(frame(spark, [])).count() == 0
