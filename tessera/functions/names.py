@@ -27,6 +27,10 @@ def camel(name: str) -> str:
     return out[:1].lower() + out[1:]
 
 
+def lcfirst_plain(name: str) -> str:
+    return name[:1].lower() + name[1:]
+
+
 def loose(name: str) -> str:
     return re.sub(r"[\s_-]", "", name.lower())
 
@@ -64,4 +68,4 @@ def default_table(kind: str, model: str, app: str | None = None) -> str:
     return model
 
 
-__all__ = ["camel", "default_table", "loose", "natural", "pascal", "pluralize", "short", "singularize", "snake", "words"]
+__all__ = ["camel", "default_table", "lcfirst_plain", "loose", "natural", "pascal", "pluralize", "short", "singularize", "snake", "words"]

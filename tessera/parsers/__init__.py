@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from tessera.model import Parsed
-from tessera.parsers import dbml, engines, prisma, python_orms, sql
+from tessera.parsers import dbml, engines, js_orms, prisma, python_orms, sql
 
-READERS = {m.KIND: m for m in (sql, dbml, prisma)} | python_orms.READERS
+READERS = {m.KIND: m for m in (sql, dbml, prisma)} | js_orms.READERS | python_orms.READERS
 
 
 def parse_file(path: str, text: str, disabled: tuple[str, ...] = ()) -> list[Parsed]:
