@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from tessera.model import Parsed
-from tessera.parsers import dbml, engines, js_orms, mappings, prisma, python_orms, schema_langs, sql
+from tessera.parsers import dbml, engines, go_orms, js_orms, mappings, prisma, python_orms, schema_langs, sql
 
-READERS = {m.KIND: m for m in (sql, dbml, prisma)} | js_orms.READERS | mappings.READERS | schema_langs.READERS | python_orms.READERS
+READERS = {m.KIND: m for m in (sql, dbml, prisma)} | js_orms.READERS | go_orms.READERS | mappings.READERS | schema_langs.READERS | python_orms.READERS
 
 
 def parse_file(path: str, text: str, disabled: tuple[str, ...] = ()) -> list[Parsed]:
