@@ -117,7 +117,7 @@ def _settings(text: str | None) -> tuple[set[str], dict[str, str]]:
     for part in re.split(r"(?<!\\);", text or ""):
         key, colon, value = part.partition(":")
         if colon:
-            values[key.strip().lower()] = value.strip().replace("\;", ";")
+            values[key.strip().lower()] = value.strip().replace(r"\;", ";")
         elif key.strip():
             flags.add(key.strip().lower())
     return flags, values
