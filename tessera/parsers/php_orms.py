@@ -70,6 +70,11 @@ def _maps(text: str) -> str:
     return re.sub(r"\[([^\[\]]*=>[^\[\]]*)\]", lambda m: "{" + m[1].replace("=>", ":") + "}", text)
 
 
+def _dotted(text: str) -> str:
+    """A class name in a string, which has dots here."""
+    return re.sub(r"([\"'])\\{0,2}((?:[A-Za-z_]\w*\\{1,2})+[A-Za-z_]\w*)(?=\1)", lambda m: m[1] + re.sub(r"\\+", ".", m[2]), text)
+
+
 def _annotation(name: str, args: str | None, sign: str) -> str:
     return f"@{name.lstrip(chr(92)).replace(chr(92), '.')}" + (f"({_named(_maps(args), sign)})" if args is not None else "") + " "
 
@@ -83,7 +88,7 @@ def _doc(text: str) -> str:
         at, args = m.end(), None
         if body[at : at + 1] == "(":
             stop = _bracket(body, at)
-            args, at = body[at + 1 : stop - 1], stop
+            args, at = _dotted(body[at + 1 : stop - 1]), stop
             # lists are in braces here, and so are maps
             args = re.sub(r"\{([^{}=:]*)\}", r"[\1]", args)
             args = re.sub(r"@(?:[A-Za-z_]\w*\\)*([A-Za-z_]\w*)\s*\(([^()]*)\)", lambda x: "\x01" + x[2].replace("=", ":") + "\x02", args)
@@ -100,7 +105,7 @@ def adapted(text: str) -> str:
         i = m.end()
         match m.lastgroup:
             case "string":
-                out.append(m[0])
+                out.append(_dotted(m[0]))
             case "attribute":
                 stop = _bracket(text, m.end() - 1)
                 for part in _parts(text[m.end() : stop - 1]):
