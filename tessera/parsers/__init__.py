@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from tessera.model import Parsed
-from tessera.parsers import dbml, ecto, engines, go_orms, js_orms, jvm_orms, mappings, php_orms, prisma, python_orms, rails, schema_langs, sql
+from tessera.parsers import dbml, ecto, efcore, engines, go_orms, js_orms, jvm_orms, mappings, php_orms, prisma, python_orms, rails, schema_langs, sql
 
-READERS = {m.KIND: m for m in (sql, dbml, prisma)} | js_orms.READERS | go_orms.READERS | rails.READERS | jvm_orms.READERS | ecto.READERS | php_orms.READERS | mappings.READERS | schema_langs.READERS | python_orms.READERS
+READERS = {m.KIND: m for m in (sql, dbml, prisma)} | js_orms.READERS | go_orms.READERS | rails.READERS | jvm_orms.READERS | efcore.READERS | ecto.READERS | php_orms.READERS | mappings.READERS | schema_langs.READERS | python_orms.READERS
 
 
 def parse_file(path: str, text: str, disabled: tuple[str, ...] = ()) -> list[Parsed]:

@@ -331,7 +331,8 @@ class Curly(Script):
                 k = next((x for x in self._flat(k, end) if self.is_(x, ";")), end) + 1
             return f, k
         if self.is_(j, "=>"):
-            return None, next((x for x in self._flat(j, end) if self.is_(x, ";")), end) + 1
+            stop = next((x for x in self._flat(j, end) if self.is_(x, ";")), end)
+            return (Field(name, type_, marks, modifiers | {"computed"}, start, (j + 1, stop)) if name else None), stop + 1
         stop = next((x for x in self._flat(j, end) if self.is_(x, ";")), end) if self.is_(j, "=") else j
         return (Field(name, type_, marks, modifiers, start, (j + 1, stop) if stop > j else None) if name else None), stop + 1
 
