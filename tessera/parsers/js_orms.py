@@ -150,6 +150,157 @@ def _typeorm_link(script: Script, out: Parsed, raw: RawEntity, c: Class, m: Memb
     )
 
 
+# MikroORM
+
+MIKRO_COLUMNS = {"PrimaryKey", "SerializedPrimaryKey", "Property", "Enum", "Formula"}
+MIKRO_LINKS = {"ManyToOne": "many-to-one", "OneToOne": "one-to-one", "OneToMany": "one-to-many", "ManyToMany": "many-to-many"}
+
+
+def mikroorm_detect(path: str, text: str) -> bool:
+    return _is_js(path) and bool(re.search(r"['\"]@mikro-orm/\w+", text)) and bool(re.search(r"@(?:Entity|PrimaryKey|Property|ManyToOne|Embeddable)\b|\bEntitySchema\b|\bdefineEntity\b", text))
+
+
+def mikroorm(path: str, text: str) -> Parsed:
+    script, out = Script(path, text), Parsed(path, "mikroorm")
+    classes = list(script.classes())
+    parts = {c.name: c for c in classes if c.decorator("Embeddable")}
+    for c in classes:
+        entity = c.decorator("Entity")
+        mapped = [m for m in c.members if any(d.tail in MIKRO_COLUMNS | set(MIKRO_LINKS) | {"Embedded"} for d in m.decorators)]
+        if not c.name or c.name in parts or (entity is None and not mapped):
+            continue
+        options = _options(entity.items) if entity is not None and entity.kind == "call" else None
+        name = _text(options, "tableName") or _text(options, "collection")
+        raw = RawEntity(name or snake(c.name), "table", schema=_text(options, "schema"), model_name=c.name, name_certainty=2 if name else 0, comment=_text(options, "comment") or script.comment(c.at), source=script.source(c.at))
+        raw.abstract = entity is None or bool(_flag(options, "abstract"))
+        raw.shared_table = options is not None and options.get("discriminatorValue") is not None
+        raw.extends = [c.base.tail] if c.base is not None and c.base.tail else []
+        for m in mapped:
+            _mikro_member(script, out, raw, c, m, parts, "")
+        for d in c.decorators:
+            if d.tail in ("Index", "Unique") and d.kind == "call":
+                inner = _options(d.items)
+                given = inner.get("properties") if inner else None
+                names = [next((x.name for x in raw.columns if x.name == snake(n)), snake(n)) for n in strings(given)]
+                if names:
+                    raw.indexes.append(Index(names, d.tail == "Unique", _text(inner, "name")))
+        out.entities.append(raw)
+    for node in script.chains():
+        if node.new and node.path == "EntitySchema" and node.items and node.items[0].kind == "obj":
+            _mikro_schema(script, out, node)
+    return out
+
+
+def _mikro_column(script: Script, out: Parsed, raw: RawEntity, prop: str, options: Node | None, hinted: str, source) -> Column:
+    """A column from its options and the type of its property."""
+    plain, null = _bare_type(hinted)
+    column = Column(_text(options, "fieldName") or _text(options, "name") or snake(prop), nullable=bool(_flag(options, "nullable")) or null, source=source, comment=_text(options, "comment"))
+    type_ = options.get("type") if options else None
+    column.type = _text(options, "columnType") or (type_.string or type_.tail if type_ is not None else "") or re.sub(r"^Opt<(.*)>$|^(.*)\s*&\s*Opt$", lambda m: m[1] or m[2], plain)
+    if (size := options.get("length") if options else None) is not None and column.type:
+        column.type += f"({size.value})"
+    column.unique = bool(_flag(options, "unique"))
+    column.primary_key = bool(_flag(options, "primary"))
+    column.generated = True if _flag(options, "autoincrement") else None
+    default = (options.get("defaultRaw") or options.get("default")) if options else None
+    if default is not None:
+        column.default = default.string if default.string is not None else script.of(default)
+    items = options.get("items") if options else None
+    if items is not None and (listed := strings(items)):
+        column.enum_ref = f"{raw.name}_{column.name}"
+        out.enums.append(RawEnum(column.enum_ref, listed, source=source))
+    elif items is not None and arrow_target(items):
+        column.enum_ref = arrow_target(items)
+    return column
+
+
+def _mikro_member(script: Script, out: Parsed, raw: RawEntity, c: Class, m: Member, parts: dict[str, Class], prefix: str) -> None:
+    source = script.source(m.at)
+    d = next(d for d in m.decorators if d.tail in MIKRO_COLUMNS | set(MIKRO_LINKS) | {"Embedded"})
+    args = d.items if d.kind == "call" else []
+    options = _options(args)
+    if d.tail in MIKRO_LINKS:
+        _mikro_link(script, out, raw, c.name, m.name, d.tail, (arrow_target(args[0]) if args and args[0].kind != "obj" else None) or arrow_target(options.get("entity") if options else None) or _bare_type(m.type)[0], options, source, m.decorator("PrimaryKey") is not None)
+        return
+    if d.tail == "Embedded":
+        part = parts.get((arrow_target(args[0]) if args and args[0].kind != "obj" else None) or _bare_type(m.type)[0])
+        said = options.get("prefix") if options else None
+        begin = "" if said is not None and said.false else said.string if said is not None and said.string else f"{snake(m.name)}_"
+        for inner in part.members if part is not None and not prefix else []:
+            if inner.decorator("Property", "Enum"):
+                _mikro_member(script, out, raw, c, inner, parts, prefix + begin)
+        return
+    if d.tail == "Formula" or (_flag(options, "persist") is False):
+        return
+    column = _mikro_column(script, out, raw, m.name, options, m.type or "", source)
+    if d.tail == "Enum" and column.enum_ref is None and args and args[0].kind == "fn":
+        column.enum_ref = arrow_target(args[0])
+    column.name = prefix + column.name
+    column.nullable = column.nullable or (m.optional and _flag(options, "nullable") is not False and d.tail != "PrimaryKey")
+    column.comment = column.comment or script.comment(m.at)
+    if d.tail in ("PrimaryKey", "SerializedPrimaryKey"):
+        column.primary_key, column.nullable = True, False
+        if column.type in ("number", "int", "integer", "bigint") and _flag(options, "autoincrement") is not False:
+            column.generated = True
+    column.unique = column.unique or m.decorator("Unique") is not None
+    if index := m.decorator("Index"):
+        raw.indexes.append(Index([column.name], False, _text(_options(index.items) if index.kind == "call" else None, "name")))
+    raw.columns.append(column)
+
+
+def _mikro_link(script: Script, out: Parsed, raw: RawEntity, model: str, prop: str, kind: str, target: str | None, options: Node | None, source, primary: bool = False) -> None:
+    inner = re.search(r"<(\w+)", target or "")
+    target = inner[1] if inner else target
+    if not target or kind == "OneToMany" or _text(options, "mappedBy") or (options is not None and options.get("mappedBy") is not None):
+        return
+    own, other = Ref(model=model), Ref(model=target)
+    rules = {"on_delete": _text(options, "deleteRule") or _text(options, "onDelete"), "on_update": _text(options, "updateRule") or _text(options, "onUpdateIntegrity")}
+    if kind == "ManyToMany":
+        through = _text(options, "pivotTable") or f"{raw.name}_{snake(prop)}"
+        out.relations.append(RawRelation(own, other, cardinality="many-to-many", kind="orm", through=Ref(through), source=source))
+        return
+    if kind == "OneToOne" and options is not None and _flag(options, "owner") is False:
+        return
+    names = strings(options.get("joinColumns")) if options and options.get("joinColumns") is not None else []
+    names = names or [_text(options, "joinColumn") or _text(options, "fieldName") or f"{snake(prop)}_id"]
+    primary = primary or bool(_flag(options, "primary"))
+    nullable = bool(_flag(options, "nullable")) and not primary
+    to = [x for x in [_text(options, "referenceColumnName") or _text(options, "referencedColumnName")] if x]
+    for name in names:
+        raw.columns.append(Column(name, "", nullable, primary, kind == "OneToOne", source=source))
+    out.relations.append(RawRelation(own, other, names, to, MIKRO_LINKS[kind], "orm", optional=nullable, source=source, **rules))
+
+
+def _mikro_schema(script: Script, out: Parsed, node: Node) -> None:
+    options, here = node.items[0], script.source(node.begin)
+    class_ = options.get("class")
+    model = _text(options, "name") or (class_.tail if class_ is not None else None)
+    name = _text(options, "tableName") or _text(options, "collection")
+    properties = options.get("properties")
+    if not (model or name) or properties is None or properties.kind != "obj":
+        return
+    raw = RawEntity(name or snake(model), "table", model_name=model, name_certainty=2 if name else 0, abstract=bool(_flag(options, "abstract")), source=here)
+    parent = options.get("extends")
+    raw.extends = [parent.string or parent.tail] if parent is not None and (parent.string or parent.tail) else []
+    kinds = {"m:1": "ManyToOne", "1:1": "OneToOne", "1:m": "OneToMany", "m:n": "ManyToMany", "MANY_TO_ONE": "ManyToOne", "ONE_TO_ONE": "OneToOne", "ONE_TO_MANY": "OneToMany", "MANY_TO_MANY": "ManyToMany"}
+    for prop, value in properties.items:
+        if value.kind != "obj":
+            continue
+        source = script.source(value.begin)
+        said = value.get("kind") or value.get("reference")
+        kind = kinds.get((said.string or said.tail) if said is not None else "")
+        if kind:
+            entity = value.get("entity") or value.get("type")
+            _mikro_link(script, out, raw, model or raw.name, prop, kind, arrow_target(entity), value, source)
+            continue
+        column = _mikro_column(script, out, raw, prop, value, "", source)
+        if column.primary_key:
+            column.nullable = False
+            column.generated = True if column.type in ("number", "int", "integer", "bigint") else column.generated
+        raw.columns.append(column)
+    out.entities.append(raw)
+
+
 # Mongoose
 
 BSON = {"String", "Number", "Date", "Boolean", "Buffer", "ObjectId", "Mixed", "Map", "Decimal128", "UUID", "BigInt", "Array", "Object"}
@@ -1056,7 +1207,7 @@ def _validator_fields(script: Script, schema: Node, prefix: str, raw: RawEntity,
 READERS = {
     name: SimpleNamespace(detect=detect, parse=parse)
     for name, detect, parse in (
-        ("typeorm", typeorm_detect, typeorm), ("drizzle", drizzle_detect, drizzle), ("sequelize", sequelize_detect, sequelize), ("mongoose", mongoose_detect, mongoose),
+        ("typeorm", typeorm_detect, typeorm), ("mikroorm", mikroorm_detect, mikroorm), ("drizzle", drizzle_detect, drizzle), ("sequelize", sequelize_detect, sequelize), ("mongoose", mongoose_detect, mongoose),
         ("knex", knex_detect, knex), ("kysely", kysely_detect, kysely), ("mongovalidator", mongovalidator_detect, mongovalidator),
     )
 }
