@@ -21,7 +21,8 @@ from tessera import model
 from tessera.functions.names import natural
 from tessera.model import Parsed, as_dict
 from tessera.operators.resolve import resolve
-from tessera.parsers import parse_file
+from tessera.parsers import engines, parse_file
+from tessera.sources.globs import glob_regex
 
 MOST_WARNINGS = 500
 
@@ -162,13 +163,22 @@ def enums(models: DataFrame) -> DataFrame:
     return part(models, "enums", ENUM)
 
 
+# Extensions that readers claim outright, and the paths of mappings among documents of many kinds.
+EXTENSIONS = (
+    "sql", "ddl", "cql", "dbml", "prisma", "js", "jsx", "mjs", "cjs", "ts", "tsx", "mts", "cts", "py", "rb", "php", "ex", "exs", "go", "rs", "java", "kt", "cs",
+    "graphql", "gql", "graphqls", "zmodel",
+)
+MAPPINGS = (
+    "**/*changelog*.{xml,yaml,yml,json}", "**/db/changelog/**/*.{xml,yaml,yml,json}", "**/liquibase/**/*.{xml,yaml,yml,json}", "**/*.hbm.xml",
+    "**/*.dcm.{xml,yml,yaml}", "**/*.orm.{xml,yml,yaml}", "**/doctrine/**/*.{xml,yml,yaml}",
+)
+
+
 def include_regex() -> str:
     """Paths that any reader may claim, for a predicate before content is read."""
-    from tessera.parsers import engines
-
-    extensions = r"\.(?:sql|ddl|cql|dbml|prisma)"
     names = "|".join(pattern for pattern, _ in engines.FILES)
-    return rf"(?i)(?:{extensions}|(?:^|/)(?:{names})|(?:^|/)settings/[^/]+\.py)$"
+    mappings = glob_regex(list(MAPPINGS)).removeprefix("(?i)")
+    return rf"(?i)(?:\.(?:{'|'.join(EXTENSIONS)})$|(?:^|/)(?:{names})$|{mappings})"
 
 
 def claimed(path: str) -> bool:

@@ -52,3 +52,24 @@ def test_globs(spark):
 def test_priority(spark):
     rows = spark.createDataFrame([("db/schema.sql",), ("tests/db/a.sql",), ("src/app.ts",), ("a/dockercompose.yml",)], "path string")
     assert [r.p for r in rows.select(files.priority(rows.path).alias("p")).collect()] == [18, 2, 0, 0]
+
+
+def test_what_readers_may_claim():
+    yes = ("a.py", "src/User.java", "db/schema.rb", "x.kt", "m.ex", "go/m.go", "A.cs", "a/b.zmodel", "q.graphqls", "db/changelog/1.yaml", "my-changelog.xml", "a/User.hbm.xml", "config/doctrine/User.orm.yml", "docker-compose.yml", "x.TSX")
+    no = ("readme.md", "a.txt", "pom2.xml.bak", "config.yaml", "data.json", "x.python")
+    assert [p for p in yes if not scan.claimed(p)] == [] and [p for p in no if scan.claimed(p)] == []
+
+
+def test_many_technologies_in_one_tree(spark, tmp_path):
+    sources = {
+        "db/schema.sql": "CREATE TABLE users (id int PRIMARY KEY);",
+        "app/models/user.rb": "class User < ApplicationRecord\n  has_many :posts\nend\nclass Post < ApplicationRecord\n  belongs_to :user\nend\n",
+        "src/Note.java": "import jakarta.persistence.*;\n@Entity @Table(name = \"notes\") class Note { @Id Long id; @ManyToOne @JoinColumn(name = \"user_id\") User author; }\n@Entity @Table(name = \"users\") class User { @Id Long id; }",
+        "lib/tag.ex": "defmodule App.Tag do\n  use Ecto.Schema\n  schema \"tags\" do\n    field :name, :string\n  end\nend\n",
+    }
+    for name, text in sources.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    models = scan.build_models(scan.parse_files(files.read_tree(spark, str(tmp_path), scan.include_regex(), workspace="w"))).cache()
+    assert {r.id for r in scan.entities(models).collect()} == {"users", "posts", "notes", "tags"}
+    assert {"posts(user_id)>users", "notes(user_id)>users"} <= {r.id for r in scan.relations(models).collect()}
