@@ -161,7 +161,7 @@ class _Reader:
         s, named = self.script, f.mark("ForeignKey")
         given = [x.strip() for x in ((s.texts(named.plain[0]) or self.names(named.plain[0]) or [""])[0] if named and named.plain else "").split(",") if x.strip()]
         back = next((k for k, x in of.items() if (m := x.mark("ForeignKey")) and m.plain and f.name in self.names(m.plain[0])), None)
-        keys = given or ([back] if back else []) or [k for k in (f"{f.name}Id", f"{f.name}ID", f"{target}Id", f"{target}ID") if k in of][:1] or [f"{f.name}Id"]
+        keys = given or ([back] if back else []) or [k for k in (f"{f.name}Id", f"{f.name}ID", f"{f.name}{target}Id", f"{target}Id", f"{target}ID") if k in of][:1] or [f"{f.name}Id"]
         key = of.get(keys[0])
         column = lambda k: s.text_of(of[k].mark("Column"), "Name", place=0) or k if k in of else k
         optional = key.type.rstrip().endswith("?") if key is not None else f.type.rstrip().endswith("?") or not (self.strict or f.mark("Required"))

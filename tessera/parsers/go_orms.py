@@ -295,7 +295,7 @@ def bun(path: str, text: str) -> Parsed:
 
 
 def ent_detect(path: str, text: str) -> bool:
-    return path.endswith(".go") and bool(re.search(r"entgo\.io/ent|facebook(?:incubator)?/ent", text) and re.search(r"\bent\.Schema\b|\bmixin\.Schema\b|schema\.Table\b", text))
+    return path.endswith(".go") and bool(re.search(r"entgo\.io/ent|facebook(?:incubator)?/ent|\bent\.Schema\b", text))
 
 
 ENT_TYPES = {"Int": "int", "String": "string", "Text": "text", "Bool": "bool", "Time": "time", "Float": "float64", "UUID": "uuid", "JSON": "json", "Bytes": "bytes", "Enum": "enum", "Strings": "json", "Ints": "json", "Other": "other", "Any": "json"}
@@ -324,6 +324,8 @@ def ent(path: str, text: str) -> Parsed:
     found = {s.name: s for s in structs(text)}
     script = Script(path, text)
     bodies = _bodies(script)
+    if "schema.Table" in text:
+        _ent_migrated(script, out)
     for s in found.values():
         kinds = {f.type.lstrip("*") for f in s.fields if f.embedded}
         if not kinds & {"ent.Schema", "mixin.Schema"}:
@@ -371,6 +373,7 @@ def _ent_field(script: Script, node, raw: RawEntity, out: Parsed) -> None:
         elif step == "Comment" and first is not None:
             column.comment = first.string
         elif step in ("Default", "DefaultFunc") and first is not None:
+            column.generated = True
             column.default = first.string if first.string is not None else script.of(first)
         elif step == "Values" and more:
             column.enum_ref = f"{raw.name}_{column.name}"
@@ -387,19 +390,114 @@ def _ent_edge(script: Script, node, model: str, raw: RawEntity, out: Parsed) ->
     kind, args, part = steps[1]
     name, target = args[0].string or "", args[1].path.partition(".")[0]
     named = {s: a for s, a, _ in steps[2:]}
-    unique, required = "Unique" in named, "Required" in named
-    key = named["Field"][0].string if named.get("Field") else None
-    source = script.source(part.begin)
-    if key:
-        known = next((c for c in raw.columns if c.name == key), None)
-        if known is None:
-            raw.columns.append(Column(key, "", not required, source=source))
-        out.relations.append(RawRelation(Ref(model=model), Ref(model=target), [key], kind="orm", optional=not required, source=source))
-    elif kind == "To" and unique:
+    unique, required, source = "Unique" in named, "Required" in named, script.source(part.begin)
+    own, other = Ref(model=model), Ref(model=target)
+    if kind == "To":
+        key = named["Field"][0].string if named.get("Field") else None
         column = f"{snake(model)}_{snake(name)}"
-        out.relations.append(RawRelation(Ref(model=model), Ref(model=target), [column], kind="orm", optional=not required, navigation=name, source=source))
-    elif kind == "To":
-        out.relations.append(RawRelation(Ref(model=model), Ref(model=target), [], [f"{snake(model)}_{snake(name)}"], "one-to-many", "orm", navigation=name, source=source))
+        if key and unique:
+            if not any(c.name == key for c in raw.columns):
+                raw.columns.append(Column(key, "", not required, source=source))
+            out.relations.append(RawRelation(own, other, [key], kind="orm", optional=not required, source=source))
+        elif unique:
+            out.relations.append(RawRelation(other, own, [column], [], "one-to-one", "orm", optional=not required, source=source))
+        else:
+            out.relations.append(RawRelation(own, other, [], [column], "one-to-many", "orm", source=source))
+        return
+    ref = named["Ref"][0].string if named.get("Ref") else None
+    if not unique:
+        out.relations.append(RawRelation(own, other, cardinality="many-to-many", kind="orm", source=source))
+        return
+    key = (named["Field"][0].string if named.get("Field") else None) or f"{snake(target)}_{snake(ref or name)}"
+    if not any(c.name == key for c in raw.columns):
+        raw.columns.append(Column(key, "", not required, source=source))
+    out.relations.append(RawRelation(own, other, [key], kind="orm", optional=not required, source=source))
+
+
+def _ent_migrated(script: Script, out: Parsed) -> None:
+    """Tables of a generated migration schema: variables of columns, of tables, and what keys refer to."""
+    columns: dict[str, list[Column]] = {}
+    choices: dict[int, list[str]] = {}
+    tables: dict[str, RawEntity] = {}
+    keys: dict[str, list[RawRelation]] = {}
+
+    def opening(i: int, end: int) -> int | None:
+        return next((k for k in range(i, min(end, i + 12)) if script.is_(k, "{")), None)
+
+    def span(item: tuple[int, int], key: str) -> tuple[int, int] | None:
+        return next(((a + 2, b) for a, b in script.parts(item[0]) if script.is_(a, key) and script.is_(a + 1, ":") and a + 2 < b), None) if script.is_(item[0], "{") else None
+
+    def items(where: tuple[int, int] | None) -> list[tuple[int, int]]:
+        at = opening(*where) if where else None
+        return script.parts(at) if at is not None else []
+
+    def texts(where: tuple[int, int] | None) -> list[str]:
+        return [n.value for k in range(*where or (0, 0)) if (n := script.expr(k, k + 1)).kind == "str"]
+
+    def picked(where: tuple[int, int] | None) -> list[Column]:
+        """``UsersColumns[0]``."""
+        held = []
+        for a, b in items(where):
+            of, at = columns.get(script.tokens[a].text, []), script.tokens[a + 2].text if a + 2 < b else ""
+            held += of[int(at) : int(at) + 1] if at.isdigit() else []
+        return held
+
+    for i in range(len(script.tokens) - 2):
+        name = script.tokens[i].text
+        if not script.is_(i + 1, "=") or script.tokens[i].kind != "name":
+            continue
+        at = opening(i + 2, len(script.tokens))
+        head = [t.text for t in script.tokens[i + 2 : at]] if at is not None else []
+        if head[-1:] == ["Column"] and head[:1] == ["["]:
+            columns[name] = []
+            for item in script.parts(at):
+                said = script.expr(*item)
+                get = lambda k: said.get(k)
+                label = get("Name").string if get("Name") is not None else None
+                if label:
+                    kind = (get("Type").tail if get("Type") is not None else "").removeprefix("Type")
+                    true = lambda k: get(k) is not None and get(k).true
+                    type_ = f"varchar({get('Size').value})" if kind == "String" and get("Size") is not None else ENT_TYPES.get(kind, kind.lower())
+                    c = Column(label, type_, true("Nullable"), unique=true("Unique"), generated=True if true("Increment") else None, source=script.source(item[0]))
+                    if get("Default") is not None:
+                        c.default = get("Default").string if get("Default").string is not None else script.of(get("Default"))
+                    if values := texts(span(item, "Enums")):
+                        c.enum_ref = label
+                        c.type = "enum"
+                        c.is_array = None
+                        c.implied = None
+                        c.references = {"values": values}
+                    columns[name].append(c)
+        elif head[-1:] == ["Table"] and head[:1] == ["&"]:
+            body = (at, script._close[at])
+            label = texts(span(body, "Name"))
+            if not label:
+                continue
+            e = tables[name] = RawEntity(label[0], "table", source=script.source(i))
+            of = script.tokens[span(body, "Columns")[0]].text if span(body, "Columns") else ""
+            e.columns = columns.get(of, [])
+            for c in picked(span(body, "PrimaryKey")):
+                c.primary_key, c.nullable = True, False
+            for c in e.columns:
+                if id(c) in choices:
+                    c.enum_ref = f"{e.name}_{c.name}"
+                    out.enums.append(RawEnum(c.enum_ref, choices[id(c)], source=c.source))
+            for item in items(span(body, "Indexes")):
+                if listed := [c.name for c in picked(span(item, "Columns"))]:
+                    unique = span(item, "Unique")
+                    e.indexes.append(Index(listed, bool(unique) and script.is_(unique[0], "true"), next(iter(texts(span(item, "Name"))), None)))
+            keys[name] = []
+            for item in items(span(body, "ForeignKeys")):
+                rule = span(item, "OnDelete")
+                said = script.tokens[rule[1] - 1].text if rule else None
+                rule_text = None if said in (None, "NoAction") else re.sub(r"(?<=[a-z])(?=[A-Z])", " ", said).upper()
+                keys[name].append(RawRelation(Ref(e.name), Ref(), [c.name for c in picked(span(item, "Columns"))], [c.name for c in picked(span(item, "RefColumns"))], name=next(iter(texts(span(item, "Symbol"))), None), on_delete=rule_text, source=script.source(item[0])))
+    for m in re.finditer(r"\b(\w+)\.ForeignKeys\[(\d+)\]\.RefTable\s*=\s*(\w+)", script.text):
+        if m[1] in keys and int(m[2]) < len(keys[m[1]]) and m[3] in tables:
+            relation = keys[m[1]][int(m[2])]
+            relation.to = Ref(tables[m[3]].name)
+            out.relations.append(relation)
+    out.entities += tables.values()
 
 
 READERS = {

@@ -264,7 +264,8 @@ def _mikro_link(script: Script, out: Parsed, raw: RawEntity, model: str, prop: s
     names = strings(options.get("joinColumns")) if options and options.get("joinColumns") is not None else []
     names = names or [_text(options, "joinColumn") or _text(options, "fieldName") or f"{snake(prop)}_id"]
     primary = primary or bool(_flag(options, "primary"))
-    nullable = bool(_flag(options, "nullable")) and not primary
+    said = _flag(options, "nullable")
+    nullable = (said if said is not None else kind != "OneToOne") and not primary
     to = [x for x in [_text(options, "referenceColumnName") or _text(options, "referencedColumnName")] if x]
     for name in names:
         raw.columns.append(Column(name, "", nullable, primary, kind == "OneToOne", source=source))

@@ -30,7 +30,8 @@ def jpa(path: str, text: str) -> Parsed:
     decls = list(script.declarations())
     enums = {d.name for d in decls if d.kind == "enum"}
     parts = {d.name: d for d in decls if d.mark("Embeddable")}
-    shared = {d.name for d in decls if (m := d.mark("Inheritance")) and (script.word_of(m, "strategy") or "SINGLE_TABLE") == "SINGLE_TABLE"}
+    #: Parents whose children have tables of their own; all others share theirs, as is the default.
+    joined = {d.name for d in decls if (m := d.mark("Inheritance")) and script.word_of(m, "strategy") in ("JOINED", "TABLE_PER_CLASS")}
     reader = _Jpa(script, out, enums, parts)
     for d in decls:
         entity, base, table = d.mark("Entity"), d.mark("MappedSuperclass"), d.mark("Table")
@@ -48,7 +49,8 @@ def jpa(path: str, text: str) -> Parsed:
         parent = next((b for b, _, opening in d.bases if script.language == "java" or opening is not None), None)
         if parent:
             e.extends = [parent]
-            e.shared_table = table is None and (parent in shared or d.mark("DiscriminatorValue") is not None)
+            apart = parent in joined or d.mark("PrimaryKeyJoinColumn") is not None
+            e.shared_table = base is None and not apart and (named is None or d.mark("DiscriminatorValue") is not None)
         reader.columns(d, e)
         for m in script.marks_in(table.named.get("indexes")) if table else []:
             listed = [re.sub(r"\s+(?:asc|desc)$", "", c.strip(), flags=re.I) for c in (script.text_of(m, "columnList") or "").split(",") if c.strip()]
@@ -143,7 +145,7 @@ class _Jpa:
         own, other, joins = Ref(model=d.name), Ref(model=target), self.joins(f)
         if link.name == "ManyToMany":
             table = f.mark("JoinTable")
-            name = _unquoted(script.text_of(table, "name")) or f"{e.name}_{snake(f.name)}"
+            name = _unquoted(script.text_of(table, "name")) or f"{e.name}_{default_table('jpa', target)}"
             self.out.relations.append(RawRelation(own, other, cardinality="many-to-many", kind="orm", through=Ref(name, schema=script.text_of(table, "schema")), navigation=f.name, source=here))
         elif link.name == "OneToMany":
             names = [n for j in joins if (n := script.text_of(j, "name", place=0))]

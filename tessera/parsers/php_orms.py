@@ -475,7 +475,7 @@ def _doctrine_member(script: Script, c: Class, m: Member, raw: RawEntity, out: P
     own, other = Ref(model=c.name), Ref(model=target)
     if kind == "ManyToMany":
         table = _of(m, "JoinTable") or {}
-        through = _text(table, "name", "0") or f"{snake(c.name)}_{snake(target)}"
+        through = _text(table, "name", "0") or f"{raw.name}_{default_table('doctrine', target)}"
         out.relations.append(RawRelation(own, other, cardinality="many-to-many", kind="orm", through=Ref(through, schema=_text(table, "schema")), navigation=m.name, source=here))
         return
     joins = [_values(d) for d in m.decorators if d.tail == "JoinColumn"] or [{}]
