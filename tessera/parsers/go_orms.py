@@ -462,11 +462,7 @@ def _ent_migrated(script: Script, out: Parsed) -> None:
                     if get("Default") is not None:
                         c.default = get("Default").string if get("Default").string is not None else script.of(get("Default"))
                     if values := texts(span(item, "Enums")):
-                        c.enum_ref = label
-                        c.type = "enum"
-                        c.is_array = None
-                        c.implied = None
-                        c.references = {"values": values}
+                        c.type, choices[id(c)] = "enum", values
                     columns[name].append(c)
         elif head[-1:] == ["Table"] and head[:1] == ["&"]:
             body = (at, script._close[at])

@@ -79,7 +79,9 @@ def _typeorm_member(script: Script, out: Parsed, raw: RawEntity, c: Class, m: Me
     if link is not None:
         _typeorm_link(script, out, raw, c, m, link)
         return
-    d = next(d for d in m.decorators if d.tail in COLUMN_DECORATORS)
+    d = next((d for d in m.decorators if d.tail in COLUMN_DECORATORS), None)
+    if d is None:
+        return
     args = d.items if d.kind == "call" else []
     options = _options(args)
     hinted, null = _bare_type(m.type)
