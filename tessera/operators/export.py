@@ -388,15 +388,18 @@ FORMATS = {"mermaid": to_mermaid, "markdown": to_markdown, "dbml": to_dbml, "pla
 PARTS = ("entities", "relations", "enums", "engines", "sources", "warnings")
 
 
+def render(model: dict, format: str, name: str) -> str:
+    return to_markdown(model, name) if format == "markdown" else FORMATS[format](model)
+
+
 def export_models(models: DataFrame, format: str) -> DataFrame:
     """One document for each workspace of ``scan.build_models``: ``workspace``, ``document``."""
-    render = FORMATS[format]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         model: dict = {part: [] for part in PARTS}
         for row in group.sort_values("seq", kind="stable").itertuples():
             model[row.part].append(json.loads(row.record))
         name = str(group.workspace.iloc[0])
-        return pd.DataFrame({"workspace": [name], "document": [render(model, name) if format == "markdown" else render(model)]})
+        return pd.DataFrame({"workspace": [name], "document": [render(model, format, name)]})
 
     return models.groupBy("workspace").applyInPandas(run, "workspace string, document string")
