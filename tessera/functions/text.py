@@ -105,3 +105,29 @@ def enum_summary(values: Column, most: int) -> Column:
 
 def markdown_cell(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"([\\|])", r"\\$1"), r"\s*\n\s*", " ")
+
+
+def relative_path(folder: Column, target: Column, ignore_case: bool = False) -> Column:
+    """The way from a folder to a file, both absolute; between two drives there is none and the target stays."""
+    a, b = path_segments(folder), path_segments(target)
+    folded = (lambda s: F.transform(s, F.lower)) if ignore_case else (lambda s: s)
+    pairs = F.zip_with(F.slice(folded(a), 1, F.size(a)), F.slice(folded(b), 1, F.greatest(F.size(b) - 1, F.lit(0))), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    first = F.array_position(pairs, F.lit(False)).cast("int")
+    shared = F.when(first == 0, F.size(pairs)).otherwise(first - 1)
+    ups = F.array_repeat(F.lit(".."), F.size(a) - shared)
+    rest = F.slice(b, shared + 1, F.greatest(F.size(b) - shared, F.lit(0)))
+    way = F.array_join(F.concat(ups, rest), "/")
+    drive = lambda s: F.when(F.get(s, F.lit(0)).rlike("^[a-zA-Z]:$"), F.lower(F.get(s, F.lit(0))))
+    return F.when(F.coalesce(drive(a) != drive(b), F.lit(False)), target).when(way == "", F.lit(".")).otherwise(way)
+
+
+def split_qualified(name: Column) -> Column:
+    """Parts of a dotted name, dots in quotes kept and quotes taken off."""
+    parts = F.regexp_extract_all(name, F.lit(r'("(?:[^"]|"")*"|`(?:[^`]|``)*`|\[[^\]]*\]|[^.\s"`\[]+)'), F.lit(1))
+    return F.transform(parts, unquoted)
+
+
+def unquoted(name: Column) -> Column:
+    """A name without its quotes; doubled ones inside are one."""
+    inside = F.substr(name, F.lit(2), F.char_length(name) - 2)
+    return F.when(name.rlike('^".*"$'), F.replace(inside, F.lit('""'), F.lit('"'))).when(name.rlike("^`.*`$"), F.replace(inside, F.lit("``"), F.lit("`"))).when(name.rlike(r"^\[.*\]$"), inside).otherwise(name)

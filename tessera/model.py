@@ -43,6 +43,7 @@ class Column:
     source: Source | None = None
     references: dict[str, Any] | None = None
     implied: bool | None = None
+    provenance: dict[str, Any] | None = None
 
 
 @dataclass

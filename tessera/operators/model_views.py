@@ -171,3 +171,32 @@ def describe_relation(perspective: Column, other_name: Column) -> Column:
     back = F.when(F.col("cardinality") == "one-to-one", "one-to-one").otherwise("one-to-many")
     inward = F.concat(F.lit("← "), other_name, F.lit("."), listed("from_columns"), F.lit(" ("), back, F.lit(")"))
     return F.when(F.col("cardinality") == MANY, both).when(F.col("from") == perspective, out).otherwise(inward)
+
+
+# What is said about how something is known.
+DERIVATIONS = {
+    "declared": "Declared", "orm": "ORM association", "inferred": "Inferred from naming", "guessed": "Name guessed", "implied": "Implied column", "external": "Not in workspace",
+}
+MOST_PLACES = 5
+
+
+def uncertain(provenance: Column) -> Column:
+    """Whether something needs a mark of doubt; without provenance it needs none."""
+    return F.coalesce(~provenance["derivation"].isin("declared", "orm") | (provenance["confidence"] == "low"), F.lit(False))
+
+
+def provenance_summary(provenance: Column) -> Column:
+    """``Inferred from naming · low confidence · merged``."""
+    labels = F.create_map(*[F.lit(x) for pair in DERIVATIONS.items() for x in pair])
+    label = F.coalesce(F.try_element_at(labels, provenance["derivation"]), provenance["derivation"])
+    merged = F.when(F.coalesce(provenance["merged"], F.lit(False)), F.lit("merged"))
+    return F.concat_ws(" · ", label, F.concat(provenance["confidence"], F.lit(" confidence")), merged)
+
+
+def provenance_lines(provenance: Column) -> Column:
+    """The summary, the notes, and the first places with lines from one."""
+    places = F.transform(F.slice(provenance["refs"], 1, MOST_PLACES), lambda r: F.concat(r["file"], F.lit(":"), (r["line"] + 1).cast("string")))
+    left = F.size(provenance["refs"]) - MOST_PLACES
+    more = F.when(left > 0, F.concat(F.lit(", +"), left.cast("string"), F.lit(" more"))).otherwise("")
+    last = F.when(F.size(provenance["refs"]) > 0, F.array(F.concat(F.lit("From "), F.array_join(places, ", "), more))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.array(provenance_summary(provenance)), provenance["notes"], last)

@@ -126,15 +126,18 @@ def build_models(parsed: DataFrame, infer_relations: bool = True) -> DataFrame:
     return parsed.groupBy("workspace").applyInPandas(run, MODEL)
 
 
+PROVENANCE = "struct<derivation:string,confidence:string,merged:boolean,refs:array<struct<file:string,line:int>>,notes:array<string>>"
 ENTITY = (
     "id string, name string, schema string, kind string, model_names array<string>, sources array<string>, files array<string>, engine string, `group` string, comment string, "
     "external boolean, join_table boolean, source struct<file:string,line:int>, "
     "columns array<struct<name:string,type:string,nullable:boolean,primary_key:boolean,unique:boolean,generated:boolean,`default`:string,comment:string,is_array:boolean,enum_ref:string,"
-    "references:struct<entity:string,column:string,inferred:boolean>,implied:boolean>>, indexes array<struct<name:string,columns:array<string>,unique:boolean>>"
+    "references:struct<entity:string,column:string,inferred:boolean>,implied:boolean>>, indexes array<struct<name:string,columns:array<string>,unique:boolean>>, "
+    f"provenance {PROVENANCE}"
 )
 RELATION = (
     "id string, `from` string, from_columns array<string>, `to` string, to_columns array<string>, cardinality string, kind string, optional boolean, name string, on_delete string, "
-    "on_update string, through string, through_name string, sources array<string>, source struct<file:string,line:int>"
+    "on_update string, through string, through_name string, sources array<string>, source struct<file:string,line:int>, "
+    f"provenance {PROVENANCE}"
 )
 ENUM = "id string, name string, schema string, values array<string>, sources array<string>"
 
