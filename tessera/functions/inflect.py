@@ -129,14 +129,19 @@ def singularize(word: str) -> str:
 def inflect_column(word: Column, plural: bool, documents: bool = False) -> Column:
     """The same for a column: the last word is inflected, its case restored."""
     before, last, after = (F.regexp_extract(word, f"(?s){LAST_WORD}", k) for k in (1, 2, 3))
-    low = F.lower(last)
-    out: Column | None = None
-    for pattern, target in reversed(_cases(plural, documents)):
-        replaced = F.regexp_replace(low, pattern, re.sub(r"\\(\d)", r"$\1", target))
-        out = F.when(low.rlike(pattern), replaced).otherwise(low if out is None else out)
-    cased = F.when((F.length(last) > 1) & (last == F.upper(last)), F.upper(out)).when(
-        last.rlike("^[A-Z]"), F.concat(F.upper(F.substring(out, 1, 1)), F.substr(out, F.lit(2)))
-    ).otherwise(out)
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731 - evaluates a value once, and keeps the rules out of generated code, which they would outgrow
+
+    def rules(low: Column) -> Column:
+        out = low
+        for pattern, target in reversed(_cases(plural, documents)):
+            out = F.when(low.rlike(pattern), F.regexp_replace(low, pattern, re.sub(r"\\(\d)", r"$\1", target))).otherwise(out)
+        return out
+
+    def cases(out: Column) -> Column:
+        whole = F.when((F.length(last) > 1) & (last == F.upper(last)), F.upper(out))
+        return whole.when(last.rlike("^[A-Z]"), F.concat(F.upper(F.substring(out, 1, 1)), F.substr(out, F.lit(2)))).otherwise(out)
+
+    cased = once(once(F.lower(last), rules), cases)
     return F.when(word.rlike(f"(?s){LAST_WORD}"), F.concat(before, cased, after)).otherwise(word)
 
 
