@@ -55,6 +55,8 @@ class _Reader:
 
     def read(self) -> None:
         decls = list(self.script.declarations())
+        if re.search(r"DbContext|DbSet<", self.script.text):
+            self.providers()
         self.enums = {d.name: d for d in decls if d.kind == "enum"}
         for d in decls:
             bases = [b for b, _, _ in d.bases]
@@ -81,6 +83,12 @@ class _Reader:
             i -= 1
         return self.script.tokens[i - 1].text if i > 0 else None
 
+    def providers(self) -> None:
+        s = self.script
+        for i, t in enumerate(s.tokens):
+            if t.kind == "name" and t.text in PROVIDERS and s.is_(i - 1, ".") and s.is_(i + 1, "(") and not any(h.engine == PROVIDERS[t.text] for h in self.out.engines):
+                self.out.engines.append(Hint(PROVIDERS[t.text], s.line(i), t.text))
+
     # Classes
 
     def plausible(self, d: Decl, members: list[Field]) -> bool:
@@ -174,10 +182,6 @@ class _Reader:
             m = re.match(r"DbSet<\s*(?:[\w.]*\.)?(\w+)\s*>", f.type)
             if m:
                 self.out.entities.append(RawEntity(f.name, "table", model_name=m[1], name_certainty=1, partial=True, source=self.script.source(f.at)))
-        for node in self.script.chains():
-            for step, args, part in node.chain():
-                if step in PROVIDERS and args is not None and not any(h.engine == PROVIDERS[step] for h in self.out.engines):
-                    self.out.engines.append(Hint(PROVIDERS[step], self.script.line(part.end - 1), step))
         if "OnModelCreating" in methods:
             self.fluent(methods["OnModelCreating"].body, None, {})
 

@@ -21,6 +21,8 @@ _TOKEN = re.compile(
 )
 _REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
 OPEN, CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
+#: Expressions within each other that are read; real ones have far fewer.
+DEEPEST = 60
 MODIFIERS = {"public", "private", "protected", "readonly", "static", "declare", "abstract", "override", "async", "get", "set", "accessor"}
 
 
@@ -125,7 +127,8 @@ class Script:
         self.tokens: list[Tok] = []
         self.comments: dict[int, str] = {}
         self._scan()
-        self._memo: dict[int, Node] = {}
+        self._memo: dict[tuple[int, int], Node] = {}
+        self._depth = 0
         self._close = self._match()
 
     def _scan(self) -> None:
@@ -244,8 +247,20 @@ class Script:
         return Node("fn", i, end, of=inner, items=[params, (j + 1, end)])
 
     def postfix(self, i: int, end: int | None = None) -> Node:
-        """A primary with its members, calls and subscripts."""
+        """A primary with its members, calls and subscripts; what is nested too deep is raw."""
         end = len(self.tokens) if end is None else end
+        if (i, end) in self._memo:
+            return self._memo[i, end]
+        if self._depth >= DEEPEST:
+            return Node("raw", i, max(end, i))
+        self._depth += 1
+        try:
+            node = self._memo[i, end] = self._postfix(i, end)
+        finally:
+            self._depth -= 1
+        return node
+
+    def _postfix(self, i: int, end: int) -> Node:
         new = self.is_(i, "new")
         begin = i
         i += new
@@ -342,10 +357,9 @@ class Script:
         for i in range(begin, end):
             t = self.tokens[i]
             if t.kind == "name" and not self.is_(i - 1, ".", "?.", "new") and (self.is_(i + 1, ".", "(", "?.", "<") or t.text == "new"):
-                if i not in self._memo:
-                    self._memo[i] = self.postfix(i)
-                if self._memo[i].kind == "call":
-                    yield self._memo[i]
+                node = self.postfix(i)
+                if node.kind == "call":
+                    yield node
 
     def assigned(self, i: int) -> str | None:
         """The variable or property that the expression at a token is assigned to."""

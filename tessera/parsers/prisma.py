@@ -180,7 +180,7 @@ def _default(attribute: Attribute, column: Column) -> None:
 
 
 def parse(path: str, text: str, kind: str = KIND) -> Parsed:
-    out = Parsed(path, kind)
+    out, lines = Parsed(path, kind), Lines(text)
     found = blocks(text)
     provider = None
     for b in found:
@@ -191,7 +191,7 @@ def parse(path: str, text: str, kind: str = KIND) -> Parsed:
                     name = unescaped(line[2].text)
                     if name in ENGINES:
                         provider = ENGINES[name]
-                        out.engines.append(Hint(provider, Lines(text).at(line[0].start), f'datasource provider "{name}"'))
+                        out.engines.append(Hint(provider, lines.at(line[0].start), f'datasource provider "{name}"'))
     enums = {b.name: b for b in found if b.keyword == "enum"}
     types = {b.name for b in found if b.keyword == "type"}
     models = {b.name: b for b in found if b.keyword in ("model", "view") and not b.attribute("ignore")}
