@@ -86,6 +86,8 @@ def map_batches(
         for batch in gathered(batches, most_bytes) if most_bytes else batches:
             if batch.num_rows and (out := step(batch)) is not None and out.num_rows:
                 yield out
+        # workers outlive their tasks: what Arrow no longer uses goes back
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -23,9 +23,9 @@ ODD = "\x01|  | \n|\n\n[\n ]| \\z|\n\n\\z"
 #: Stands before a part that has no blank before it.
 BARE = "\x01"
 #: Parts that a worker keeps; beyond it the cache starts anew.
-CACHE_PARTS = 1_000_000
+CACHE_PARTS = 400_000
 #: Bytes of text that are best encoded at once: the more, the fewer parts are distinct.
-ENCODE_BYTES = 12 << 20
+ENCODE_BYTES = 8 << 20
 #: Longer parts are forgotten after their batch.
 LONG = 60
 #: New parts that are joined into one text for the library.
