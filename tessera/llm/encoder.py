@@ -12,6 +12,7 @@ other white space next to a cut go to the library whole.
 from __future__ import annotations
 
 import json
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +24,17 @@ ODD = "\x01|  | \n|\n\n[\n ]| \\z|\n\n\\z"
 #: Stands before a part that has no blank before it.
 BARE = "\x01"
 #: Parts that a worker keeps; beyond it the cache starts anew.
-CACHE_PARTS = 400_000
+CACHE_PARTS = 200_000
 #: Bytes of text that are best encoded at once: the more, the fewer parts are distinct.
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 4 << 20
 #: Longer parts are forgotten after their batch.
 LONG = 60
 #: New parts that are joined into one text for the library.
 JOINED = 160
 
+#: Tasks are parallel already; threads of the library's own would each hold memory.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 _encoders: dict[str, Encoder] = {}
 
 
