@@ -7,14 +7,16 @@ bytes of the normalised UTF-8.
 
 A part within ``k`` edits of an item of ``m`` bytes shares ``m + 1 - q (k + 1)`` of
 its q-grams at least, and these lie on diagonals that are ``k`` apart at most.
-So the q-grams that a document shares with each item are counted in
-overlapping bands of diagonals, every two bands beside each other together;
-bands that meet the bound are retained and verified by alignment within the
-band.  Items enter by their q-grams in blocks of bounded size, so no document is
-ever paired with an item that it doesn't share enough with.
+The same holds of any choice of its q-grams that don't overlap: an edit touches
+one of them at most, so of ``p`` such tiles ``p - k`` stay.  The tiles that a
+document shares with each item are counted in overlapping bands of diagonals,
+every two bands beside each other together; bands with enough tiles are counted
+again with all q-grams, and those that meet the bound are verified by alignment
+within the band.  Items enter by their tiles in blocks of bounded size, so no
+document is ever paired with an item that it doesn't share enough with.
 
 Cases: a null or empty text has no match, an item of fewer than ``Q`` bytes has
-none either, and one too short for its budget must come exactly; repeated
+none either, and one too short for its budget is allowed one edit less; repeated
 rows match alike; an empty table or benchmark gives no rows; other columns are
 ignored.
 """
@@ -32,9 +34,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-#: Bytes of a q-gram.  Eight already come by chance at one place in eight of such texts, twelve at one in two hundred.
-Q = 12
-EDIT_RATE = 0.05
+#: Bytes of a q-gram.  Eight come by chance at one place in eight of such texts, so documents are searched for tiles first.
+Q = 8
+EDIT_RATE = 0.10
 #: Normalised bytes of the items that are held at once; a larger benchmark takes more passes.
 BLOCK_BYTES = 4 << 20
 FILTER_BITS = 21
@@ -50,24 +52,17 @@ def normalised(text: str | None) -> bytes:
 
 
 def grams(data: bytes) -> np.ndarray:
-    """The q-gram at each place of ``data`` as a 64-bit hash; unequal ones that meet only cost an alignment."""
+    """The q-gram at each place of ``data`` as a number."""
     n = max(0, len(data) - Q + 1)
-    head, tail = np.empty(n, np.uint64), np.empty(n, np.uint64)
-    for k in range(min(8, n)):
-        head[k::8] = np.frombuffer(data, "<u8", (n - k + 7) // 8, k)
-    for k in range(min(4, n)):
-        tail[k::4] = np.frombuffer(data, "<u4", (n - k + 3) // 4, k + 8)
-    with np.errstate(over="ignore"):
-        head *= _MIX
-        tail *= np.uint64(0xD6E8FEB86659FD93)
-        head ^= head >> np.uint64(32)
-        head += tail
-    return head
+    out = np.empty(n, np.uint64)
+    for k in range(min(Q, n)):
+        out[k::Q] = np.frombuffer(data, "<u8", (n - k + Q - 1) // Q, k)
+    return out
 
 
 def budget(m: int, rate: float = EDIT_RATE) -> int:
-    """Edits allowed in an item of ``m`` bytes: so many that some q-grams must stay."""
-    return max(0, min(int(rate * m), (m + 1) // Q - 2))
+    """Edits allowed in an item of ``m`` bytes: so many that one tile must stay."""
+    return max(0, min(int(rate * m), m // Q - 1))
 
 
 def best_alignment(item: bytes, text: bytes, low: int, high: int, k: int) -> tuple[int, int, int] | None:
@@ -103,6 +98,11 @@ def best_alignment(item: bytes, text: bytes, low: int, high: int, k: int) -> tup
     return int(cost[j]), int(start[j]), low + len(a) + j
 
 
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
 class ItemIndex:
     """The q-grams of a block of items."""
 
@@ -112,10 +112,15 @@ class ItemIndex:
         lengths = np.array([len(x) for x in self.items], np.int64)
         self.edits = np.array([budget(m, rate) for m in lengths.tolist()], np.int64)
         self.needed = lengths + 1 - Q * (self.edits + 1)
-        per_item = [grams(x) for x in self.items]
+        #: Tiles of an item that stay at least.
+        self.staying = lengths // Q - self.edits
+        self.every = [grams(x) for x in self.items]
+        orders = [np.argsort(g, kind="stable") for g in self.every]
+        self.sorted = [(g[o], o) for g, o in zip(self.every, orders)]
+        per_item = [g[::Q] for g in self.every]
         every = np.concatenate([*per_item, np.zeros(0, np.uint64)])
         of = np.repeat(np.arange(len(items)), [len(g) for g in per_item])
-        place = np.concatenate([*[np.arange(len(g)) for g in per_item], np.zeros(0, np.int64)])
+        place = np.concatenate([*[np.arange(len(g)) * Q for g in per_item], np.zeros(0, np.int64)])
         order = np.argsort(every, kind="stable")
         self.of, self.place = of[order], place[order]
         self.grams, self.first, self.count = np.unique(every[order], return_index=True, return_counts=True)
@@ -144,7 +149,7 @@ class ItemIndex:
         item, doc = self.of[pick], np.repeat(doc, counts)
         pair = doc * len(self.items) + item
         if len(starts) * len(self.items) <= 4 * len(pair) + 1_000_000:
-            enough = np.bincount(pair, minlength=len(starts) * len(self.items))[pair] >= self.needed[item]
+            enough = np.bincount(pair, minlength=len(starts) * len(self.items))[pair] >= self.staying[item]
         else:
             enough = np.ones(len(pair), bool)
         item, doc, pair = item[enough], doc[enough], pair[enough]
@@ -159,8 +164,25 @@ class ItemIndex:
         together = np.unique(np.concatenate([keys, keys - 1]))
         total = sum(np.where((i := np.minimum(np.searchsorted(keys, together + s), len(keys) - 1), keys[i] == together + s)[1], counts[i], 0) for s in (0, 1))
         pairs = together // span
-        for p, b in zip(pairs[good := total >= self.needed[pairs % len(self.items)]].tolist(), (together[good] % span + low).tolist()):
-            yield p // len(self.items), p % len(self.items), b
+        for p, b in zip(pairs[good := total >= self.staying[pairs % len(self.items)]].tolist(), (together[good] % span + low).tolist()):
+            doc, item = divmod(p, len(self.items))
+            wide = int(self.edits[item]) + 1
+            # Places of the document at which a q-gram of the item can lie within the bands.
+            first, last = starts[doc] + max(0, b * wide), starts[doc] + (b + 2) * wide - 1 + len(self.every[item])
+            last = min(last, starts[doc + 1] if doc + 1 < len(starts) else len(found))
+            if self.meets(item, found[first:last], int(first - starts[doc]), b * wide):
+                yield doc, item, b
+
+    def meets(self, item: int, part: np.ndarray, place: int, low: int) -> bool:
+        """Whether enough q-grams of the item are in ``part``, which begins at ``place``, on diagonals ``edits`` apart, of two bands from ``low``."""
+        sorted_grams, places = self.sorted[item]
+        left, right = np.searchsorted(sorted_grams, part), np.searchsorted(sorted_grams, part, side="right")
+        counts = right - left
+        at = np.repeat(place + np.arange(len(part)), counts)
+        diagonal = at - places[_ranges(left, counts)]
+        k, needed = int(self.edits[item]), int(self.needed[item])
+        diagonal = np.sort(diagonal[(diagonal >= low) & (diagonal < low + 2 * (k + 1))])
+        return bool(np.any(diagonal[needed - 1 :] - diagonal[: max(0, len(diagonal) - needed + 1)] <= k))
 
     def matches(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """Rows (text, item, edits, start, end), places in the normalised text; the best match of each pair."""

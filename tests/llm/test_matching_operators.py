@@ -154,6 +154,23 @@ def test_blocks_of_items(spark, monkeypatch):
     assert rows_of(found.where("edits = 0"), "doc_id", "item_id") == [(i, i) for i in range(7)]
 
 
+def test_decontamination_allows_a_tenth_of_an_item(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("aeinrst") for _ in range(rnd.randint(2, 8)))
+    items = [(i, " ".join(word() for _ in range(rnd.randint(16, 60)))) for i in range(12)]
+    rows, rates = [], []
+    for i in range(72):
+        text = items[i % 12][1]
+        broken = list(text)
+        for at in rnd.sample(range(len(text)), int(len(text) * rnd.uniform(0.03, 0.15))):
+            broken[at] = rnd.choice(["", "x", "ou"])
+        rows.append((i, f"{word()} {word()} {''.join(broken)} {word()}", "en", "s", 1))
+        rates.append(edits(decontaminate.normalised(text), decontaminate.normalised(rows[-1][1])) / len(text))
+    found = decontaminate.find_leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert rows_of(found, "doc_id", "item_id") == sorted(((i, i % 12) for i, r in enumerate(rates) if r <= 0.1), key=repr)
+    assert sum(0.05 < r <= 0.1 for r in rates) > 10 and sum(r > 0.1 for r in rates) > 5
+
+
 def test_forward_backward():
     rng = np.random.default_rng(0)
     lines = np.array([3, 1, 5])
