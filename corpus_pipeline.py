@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import common, decontaminate, line_dedup, packing, quality_rules, simhash
+from tessera.llm import common, decontaminate, line_dedup, near_sets, packing, quality_rules
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -29,7 +29,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near-duplicates."""
-    return simhash.keep_first(docs)
+    return near_sets.keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from cases import awkward, frame, rows_of
 
 import corpus_pipeline
-from tessera.llm import chat_format, common, crf_quality, decontaminate, simhash
+from tessera.llm import chat_format, common, crf_quality, decontaminate, near_sets, simhash
 from tessera.llm.components import components
 
 
@@ -70,6 +70,35 @@ def test_rows_of_one_id_with_different_texts_are_one_document(spark):
     assert {r.component_id for r in simhash.near_duplicates(frame(spark, rows)).collect()} == {1}
 
 
+def similar_groups(rows):
+    """Smallest place of each row's group over five-word Jaccard of 0.8 and equal ids; null ids tie nothing."""
+    words = [(r[1] or "").encode().lower().split() for r in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    near = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) or None is not rows[i][0] == rows[j][0]]
+    return simhash.local_roots(len(rows), *(np.array(x, int) for x in zip(*near))).tolist()
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_pipeline_keeps_one_of_similar_documents(spark, monkeypatch, parts):
+    monkeypatch.setattr(near_sets, "SAMPLE_DOCS", 40)
+    rnd = random.Random(parts)
+    rows = near(awkward(n=20))
+    common_part = " ".join(f"same{i}" for i in range(30))
+    rows += [(700 + i, f"{common_part} " + " ".join(f"own{rnd.randint(0, 10**6)}" for _ in range(rnd.choice([2, 6, 12]))), "en", "s", 1) for i in range(20)]
+    chain = [f"link{i}" for i in range(300)]
+    rows += [(800 + i, " ".join(chain[8 * i : 8 * i + 120]), "en", "s", 1) for i in range(15)]
+    rows += [(None, " ".join(f"null{k}x{i}" for i in range(50)), "en", "s", 1) for k in (1, 2, 2)] + [(None, rows[-1][1], "en", "s", 1)]
+    roots, best = similar_groups(rows), {}
+    for r, row in zip(roots, rows):
+        best[r] = min(best.get(r, simhash.LAST_ID), simhash.LAST_ID if row[0] is None else row[0])
+    want = sorted((None if v == simhash.LAST_ID else v for v in best.values()), key=repr)
+    kept = corpus_pipeline.near_duplicates(spark, frame(spark, rows).repartition(parts), "")
+    assert kept.columns == frame(spark, []).columns
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == want
+    assert want.count(None) == 3 and sum(700 <= w < 720 for w in want if w) > 3
+    assert corpus_pipeline.near_duplicates(spark, frame(spark, []), "").count() == 0
+
+
 def test_cut_cells(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CELL_ROWS", 20)
     rnd = random.Random(2)
