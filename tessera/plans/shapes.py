@@ -44,7 +44,7 @@ def degree_rank(t: Tables) -> DataFrame:
     return graph.degrees(_part_supplier(t, "l_quantity = 50"))
 
 
-def _part_supplier(t: Tables, where: str) -> DataFrame:
+def _part_supplier(t: Tables, where: str = "true") -> DataFrame:
     return t.lineitem.where(where).select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")).distinct()
 
 
@@ -73,6 +73,13 @@ def components(t: Tables) -> DataFrame:
     return graph.components(vertices, edges)
 
 
+@query()
+def components_whole(t: Tables) -> DataFrame:
+    """Over every edge of the table; without SQL, tests compare with brute force."""
+    edges = _part_supplier(t)
+    return graph.components(edges.select(F.explode(F.array("a", "b")).alias("v")).distinct(), edges)
+
+
 @query("""
 WITH visible AS (SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey NOT IN (0, 3)),
 edges AS (SELECT DISTINCT l_suppkey AS a, o_custkey % 100 + 1 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity = 50)
