@@ -210,6 +210,16 @@ def symmetric_dedupe(t: Tables) -> DataFrame:
     return merge.dedupe_symmetric(pairs.select("s1", "s2"), "s1", "s2")
 
 
+@query("""
+SELECT DISTINCT least(l_suppkey, o_custkey) AS s1, greatest(l_suppkey, o_custkey) AS s2
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey <> o_custkey
+""")
+def symmetric_dedupe_whole(t: Tables) -> DataFrame:
+    """Directed pairs of every line of the table."""
+    pairs = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_suppkey").alias("s1"), F.col("o_custkey").alias("s2"))
+    return merge.dedupe_symmetric(pairs.where("s1 <> s2"), "s1", "s2")
+
+
 @query("""
 SELECT doc_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN lang END, CASE WHEN (SELECT count(DISTINCT event_type) FROM events WHERE event_type = 'click') = 1 THEN 'click' END) AS filled FROM documents
 """)

@@ -80,15 +80,49 @@ def components_whole(t: Tables) -> DataFrame:
     return graph.components(edges.select(F.explode(F.array("a", "b")).alias("v")).distinct(), edges)
 
 
+@query("""
+WITH edges AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem)
+SELECT 's' || s AS v, count(*) AS degree FROM edges GROUP BY s UNION ALL SELECT 'p' || p, count(*) FROM edges GROUP BY p
+""")
+def degree_rank_whole(t: Tables) -> DataFrame:
+    return graph.degrees(_part_supplier(t))
+
+
+@query("""
+WITH e AS (SELECT DISTINCT 'p' || l_partkey AS p, 's' || l_suppkey AS s FROM lineitem),
+start AS (SELECT least(min(p), min(s)) AS v FROM e),
+one AS (SELECT s AS v FROM e WHERE p = (SELECT v FROM start) UNION SELECT p FROM e WHERE s = (SELECT v FROM start)),
+two AS (SELECT p AS v FROM e WHERE s IN (SELECT v FROM one) UNION SELECT s FROM e WHERE p IN (SELECT v FROM one)),
+reach AS (SELECT v, 0 AS hop FROM start UNION ALL SELECT v, 1 FROM one UNION ALL SELECT v, 2 FROM two)
+SELECT v, CAST(min(hop) AS INTEGER) AS hop FROM reach GROUP BY v
+""")
+def hops2_whole(t: Tables) -> DataFrame:
+    edges = _part_supplier(t)
+    return graph.within_hops(edges, graph.undirected(edges).agg(F.min("a").alias("v")), 2)
+
+
+@query("""
+WITH visible AS (SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey NOT IN (0, 3)),
+edges AS (SELECT DISTINCT l_suppkey AS a, o_custkey % 100 + 1 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT a, CAST(b AS BIGINT) AS b FROM edges WHERE a IN (SELECT s_suppkey FROM visible) AND b IN (SELECT s_suppkey FROM visible)
+""")
+def visible_nodes_edges_whole(t: Tables) -> DataFrame:
+    return _visible(t, t.lineitem)
+
+
 @query("""
 WITH visible AS (SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey NOT IN (0, 3)),
 edges AS (SELECT DISTINCT l_suppkey AS a, o_custkey % 100 + 1 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity = 50)
 SELECT a, CAST(b AS BIGINT) AS b FROM edges WHERE a IN (SELECT s_suppkey FROM visible) AND b IN (SELECT s_suppkey FROM visible)
 """)
 def visible_nodes_edges(t: Tables) -> DataFrame:
+    return _visible(t, t.lineitem.where("l_quantity = 50"))
+
+
+def _visible(t: Tables, lineitem: DataFrame) -> DataFrame:
     hidden = F.array(F.lit(0), F.lit(3))
     nodes = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).where(F.forall(hidden, lambda r: r != F.col("n_regionkey"))).select(F.col("s_suppkey").alias("v"))
-    lines = t.lineitem.where("l_quantity = 50").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
     edges = lines.select(F.col("l_suppkey").alias("a"), (F.col("o_custkey") % 100 + 1).alias("b")).distinct()
     return graph.visible_edges(edges, nodes).select("a", "b")
 
