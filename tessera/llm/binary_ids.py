@@ -1,7 +1,8 @@
 """Token ids of a corpus in binary segments with Elias-Fano document boundaries.
 
-Documents are dealt out by ranges of their id, sorted, encoded and laid end to
-end; a segment holds some millions of ids of consecutive documents:
+Documents are encoded where they lie; their ids, two bytes each where the
+vocabulary allows it, are dealt out by ranges of the document id, sorted and laid
+end to end.  A segment holds some millions of ids of consecutive documents:
 
     magic, version, bytes an id, documents, ids, null ids, least id
     Elias-Fano: document ids less the least one
@@ -9,13 +10,15 @@ end; a segment holds some millions of ids of consecutive documents:
     the ids, 16 bits each if the vocabulary allows it, else 32
 
 Segments are the rows of a Parquet table, so they are committed task by task,
-survive lost executors, and can be read from any store that Spark reads.  The
-place of a document in the whole corpus is its place in its segment and a
-running sum over the segments, one small row each.
-
-Cases: a null text counts as empty; null document ids come first; rows with
-one id are kept apart, in order of their text's hash; an empty table gives a
-table without segments; other columns are ignored.
+survive lost executors, and can be read from any store that Spark reads.  A
+reader finds each document by select on the boundaries.  Its place in the whole
+corpus is that and a running sum over the segments of its part and over the
+parts, one small row each.
+
+Cases: a null text counts as empty; a text of any length is one document, if need
+be in a segment of its own; null document ids come first; rows with one id are
+kept apart, in order of their text's hash; an empty table gives a table without
+segments; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,14 +49,18 @@ MAGIC, VERSION = b"TSEG", 1
 
 
 def build_segment(doc_ids: list[int | None], ids: list[bytes], width: int) -> bytes:
-    """One segment; ``ids`` are little-endian unsigned 32-bit, nulls come first in ``doc_ids``."""
+    """One segment; ``ids`` are little-endian unsigned numbers of ``width`` bytes, nulls come first in ``doc_ids``."""
     known = np.array([d for d in doc_ids if d is not None], np.int64)
     base = int(known[0]) if len(known) else 0
-    ends = np.concatenate([[0], np.cumsum([len(raw) // 4 for raw in ids])]).astype(np.uint64)
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    head = _HEAD.pack(MAGIC, VERSION, width, 0, len(doc_ids), len(flat), len(doc_ids) - len(known), base)
+    ends = np.concatenate([[0], np.cumsum([len(raw) // width for raw in ids])]).astype(np.uint64)
+    head = _HEAD.pack(MAGIC, VERSION, width, 0, len(doc_ids), int(ends[-1]), len(doc_ids) - len(known), base)
     offsets = known.astype(np.uint64) - np.uint64(base % (1 << 64))
-    return head + encode(offsets) + encode(ends) + flat.astype("<u2" if width == 2 else "<u4").tobytes()
+    return head + encode(offsets) + encode(ends) + b"".join(ids)
+
+
+def id_bytes(tokenizer: str, end_id: int) -> int:
+    """Bytes that an id of this vocabulary takes."""
+    return 2 if max(Encoder.of(tokenizer).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
 
 class Segment:
@@ -68,11 +75,12 @@ class Segment:
         self.ids = np.frombuffer(data, "<u2" if width == 2 else "<u4", self.n_ids, self._ends.end)
 
     def doc_ids(self) -> list[int | None]:
-        known = (self._ids.all() + np.uint64(self.base % (1 << 64))).astype(np.int64)
+        known = (self._ids.selected(np.arange(self.n_docs - self.n_null)) + np.uint64(self.base % (1 << 64))).astype(np.int64)
         return [None] * self.n_null + known.tolist()
 
     def boundaries(self) -> np.ndarray:
-        return self._ends.all().astype(np.int64)
+        """Where each document begins, and the end of the last."""
+        return self._ends.selected(np.arange(self.n_docs + 1)).astype(np.int64)
 
     def document(self, i: int) -> np.ndarray:
         """The ids of the i-th document, by two selects."""
@@ -92,13 +100,25 @@ def write_segments(
     """Encode all documents in ascending order of their id and write the segments to ``path``."""
     spark = docs.sparkSession
     common.prepare(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    rows = rows.repartitionByRange(common.partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
-    end = np.array([end_id], "<u4").tobytes()
+    rows = docs.select(common.named(id_col).cast("long").alias("doc_id"), F.coalesce(common.named(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    width = id_bytes(tokenizer, end_id)
+    kind = "<u2" if width == 2 else "<u4"
+    end = np.array([end_id], kind).tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         encoder = Encoder.of(tokenizer)
-        width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids = [np.frombuffer(raw, "<u4").astype(kind).tobytes() + end for raw in encoder.encode(batch.column(1))]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.binary())], names=["doc_id", "tie", "ids"])
+
+        return step
+
+    # Written, so that neither the sample of the ranges nor a lost executor encodes anything again.
+    coded = common.written(common.map_batches(rows, make, "doc_id long, tie long, ids binary", ENCODE_BYTES), "encoded")
+    coded = coded.repartitionByRange(common.partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids").select("doc_id", "ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, segment = TaskContext.get().partitionId(), 0
         held: list[tuple[int | None, bytes]] = []
         size = 0
@@ -107,25 +127,27 @@ def write_segments(
             data = build_segment([d for d, _ in held], [raw for _, raw in held], width)
             return pa.RecordBatch.from_pydict({"part": [part], "segment": [segment], "n_docs": [len(held)], "n_ids": [size], "data": [data]})
 
-        for batch in common.gathered(batches, ENCODE_BYTES):
-            for doc_id, raw in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
-                held.append((doc_id, raw + end))
-                size += len(raw) // 4 + 1
+        for batch in batches:
+            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.append((doc_id, raw))
+                size += len(raw) // width
                 if size >= segment_ids:
                     yield close()
                     held, size, segment = [], 0, segment + 1
         if held:
             yield close()
 
-    rows.mapInArrow(run, SEGMENTS).write.option("compression", "zstd").parquet(path)
+    coded.mapInArrow(run, SEGMENTS).write.option("compression", "zstd").parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row for each document of the segments: its id, place, length, and the crc32 of its ids."""
     common.prepare(spark)
     segments = spark.read.schema(SEGMENTS).parquet(path)
-    order = Window.orderBy("part", "segment").rowsBetween(Window.unboundedPreceding, -1)
-    places = segments.select("part", "segment", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = segments.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", before(Window.orderBy("part")).alias("start"))
+    within = segments.select("part", "segment", before(Window.partitionBy("part").orderBy("segment")).alias("within"))
+    places = within.join(F.broadcast(parts), "part").select("part", "segment", (F.col("start") + F.col("within")).alias("base"))  # a row for each task that wrote
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")])
 
     def make():

@@ -7,6 +7,9 @@ that it ran.  Nothing here collects rows of documents to the driver.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -31,19 +34,40 @@ def prepare(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one in tests."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one where driver and executors are one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if not (held := context._jsc.sc().getCheckpointDir()).isDefined():
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         held = context._jsc.sc().getCheckpointDir()
     return held.get().rstrip("/")
 
 
+_cleared: set[str] = set()
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's scratch tables, which go when the driver ends."""
+    folder = f"{checkpoint_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
+    if folder not in _cleared:
+        _cleared.add(folder)
+        atexit.register(clear_scratch, spark, folder)
+    return folder
+
+
+def clear_scratch(spark: SparkSession, folder: str | None = None) -> None:
+    """Remove the application's scratch tables; results that were not yet read are lost with them."""
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder or scratch_folder(spark))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
-    return f"{checkpoint_dir(spark)}/tessera/{what}-{uuid.uuid4().hex}"
+    return f"{scratch_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
@@ -58,6 +82,17 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def named(column: str, row: str | None = None) -> Column:
+    """The column of exactly this name, whatever characters it has; a field of the struct ``row`` if that is given."""
+    quoted = "`" + column.replace("`", "``") + "`"
+    return F.col(f"{row}.{quoted}" if row else quoted)
+
+
+def as_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that those an operator adds can't clash with them."""
+    return F.struct(*[named(c) for c in df.columns]).alias("row")
+
+
 def lowered(text: Column) -> Column:
     """A-Z lower-cased, every other character kept."""
     return F.translate(text, UPPER, UPPER.lower())

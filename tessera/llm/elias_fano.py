@@ -13,6 +13,8 @@ import numpy as np
 
 SAMPLE = 256
 _HEAD = struct.Struct("<QBQQ")
+#: The place of each one in each byte, from the lowest.
+_SELECT = np.array([([b for b in range(8) if byte >> b & 1] + [0] * 8)[:8] for byte in range(256)], np.int64)
 
 
 def encode(values: np.ndarray) -> bytes:
@@ -48,6 +50,31 @@ class EliasFano:
         planes = np.unpackbits(self.lower, count=self.n * self.low, bitorder="little").reshape(self.n, self.low).astype(np.uint64)
         return (upper << np.uint64(self.low)) | (planes << np.arange(self.low, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
+    def selected(self, wanted: np.ndarray) -> np.ndarray:
+        """The numbers at the places ``wanted``: the bytes between a sample and its place are counted, no other number is decoded.
+
+        Places far apart read 256 ones each; for runs of places the bytes of the run are counted once.
+        """
+        wanted = np.asarray(wanted, np.int64)
+        if not len(wanted):
+            return np.zeros(0, np.uint64)
+        low, high = int(wanted.min()), int(wanted.max())
+        if low < 0 or high >= self.n:
+            raise IndexError(low if low < 0 else high)
+        # Bytes of the unary part from the sample before the first place to the one after the last.
+        first = int(self.samples[low // SAMPLE]) >> 3
+        last = int(self.samples[high // SAMPLE + 1]) >> 3 if high // SAMPLE + 1 < len(self.samples) else len(self.unary) - 1
+        part = self.unary[first : last + 1]
+        skipped = int(self.unary[first] & ((1 << (int(self.samples[low // SAMPLE]) & 7)) - 1)).bit_count()
+        ones = np.cumsum(np.bitwise_count(part), dtype=np.int64)
+        rank = wanted - low // SAMPLE * SAMPLE + skipped
+        byte = np.searchsorted(ones, rank, side="right")
+        left = rank - np.where(byte > 0, ones[byte - 1], 0)
+        upper = 8 * (first + byte) + _SELECT[part[byte], left] - wanted
+        at = wanted[:, None] * self.low + np.arange(self.low)
+        planes = (self.lower[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+        return (upper.astype(np.uint64) << np.uint64(self.low)) | (planes.astype(np.uint64) << np.arange(self.low, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+
     def select(self, i: int) -> int:
         """The i-th number, from the nearest sample on."""
         if not 0 <= i < self.n:

@@ -6,13 +6,15 @@ blanks can be cut before every blank and around every line break, and the ids
 of the parts, one after the other, are the ids of the text.  Natural texts
 repeat their parts: each worker keeps the ids of those that it has met, as
 bytes, and asks the library only about new ones, many in one call.  Texts with
-other white space next to a cut go to the library whole.
+other white space next to a cut, and texts that hold one of the vocabulary's added
+tokens, go to the library whole, whose settings are left as they are.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +45,14 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
-            pre = json.load(file).get("pre_tokenizer") or {}
+            described = json.load(file)
+        pre = described.get("pre_tokenizer") or {}
+        added = [t["content"] for t in described.get("added_tokens") or []]
         self.cached = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and self.tokenizer.normalizer is None
+        # Parts are joined by white space for the library: an added token with white space could arise there.
+        self.cached = self.cached and not any(re.search(r"\s", t) for t in added)
+        self.odd = "|".join([ODD, *[rf"\Q{t}\E" for t in added]])
         self.newline = self._each(["\n"])[0]
         self.line = int(np.frombuffer(self.newline, "<u4")[0])
         self.marks = dict(zip(".,", self._each([".", ","])))
@@ -108,7 +114,7 @@ class Encoder:
         if not self.cached:
             return self._each(texts.to_pylist())
         out: list[bytes | None] = [None] * len(texts)
-        plain = np.flatnonzero(~pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False))
+        plain = np.flatnonzero(~pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False))
         if len(plain):
             marked = pc.binary_join_element_wise(BARE, pc.replace_substring(texts.take(pa.array(plain)), "\n", " \n " + BARE), "")
             lists = pc.split_pattern(marked, " ")

@@ -45,7 +45,7 @@ def pack(
     if length < 1 or length & (length - 1):
         raise ValueError("length must be a power of two")
     common.prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(common.named(id_col).cast("long").alias("doc_id"), F.coalesce(common.named(text_col), F.lit("")).alias("text"))
     end = np.array([end_id], "<u4").tobytes()
     schema = pa.schema(
         [(n, pa.int64()) for n in ("doc_id", "start", "length")] + [("bucket", pa.int32())] + [(n, pa.int64()) for n in ("doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())]

@@ -10,8 +10,10 @@ Words are maximal runs without white space; the first piece of a word may begin
 with a blank, as the vocabulary of byte-level BPE has it.  Counts add up over
 words, so each worker keeps the counts of the words that it has met.
 
-Cases: null, empty and blank texts have no words and no pieces; repeated rows
-are counted alike; an empty table stays empty; other columns are ignored.
+Cases: null, empty and blank texts have no words and no pieces; a text of any
+length is counted whole, one word after the other, and words over ``LONG`` bytes
+are not kept; null ids stay null; repeated rows are counted alike; an empty table
+stays empty; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-#: Words that a worker keeps; beyond it the cache starts anew.
+#: Words that a worker keeps, beyond which the cache starts anew, and bytes of a word that is worth keeping.
 CACHE_WORDS = 1_000_000
+LONG = 64
 START = b" "
 
 _counters: dict[str, WordCounts] = {}
@@ -90,7 +93,11 @@ class WordCounts(dict):
             self.automaton = Automaton({base64.b64decode(line.split()[0]) for line in file if line.strip()})
 
     def __missing__(self, word: bytes) -> int:
-        n = self[word] = self.automaton.count(START + word)
+        n = self.automaton.count(START + word)
+        if len(word) <= LONG:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = n
         return n
 
     @classmethod
@@ -98,10 +105,7 @@ class WordCounts(dict):
         """The worker's own counts for this vocabulary file, one base64 piece and its rank a line."""
         if path not in _counters:
             _counters[path] = cls(path)
-        counts = _counters[path]
-        if len(counts) > CACHE_WORDS:
-            counts.clear()
-        return counts
+        return _counters[path]
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,5 +122,5 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
 
         return step
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(common.named(id_col).cast("long").alias("doc_id"), F.coalesce(common.named(text_col), F.lit("")).alias("text"))
     return common.map_batches(rows, make, "doc_id long, n_words long, n_pieces long, n_bytes long")

@@ -17,7 +17,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def reference(text):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(text, add_special_tokens=False)]
 
 
@@ -30,6 +29,15 @@ def test_encoder_equals_the_library():
     assert encoder.encode(texts) == reference(texts)  # from the cache
 
 
+def test_added_tokens_are_one_id():
+    rnd = random.Random(4)
+    pieces = ["<|endoftext|>", "<|endoftext|", "|>", "<|", "endoftext", " ", "a", "\n", ".", "word"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y", *["".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 9))) for _ in range(2000)]]
+    encoder = Encoder(PATH)
+    assert encoder.encode(texts) == reference(texts)
+    assert np.frombuffer(encoder.encode(texts[:1])[0], "<u4").tolist() == [64, 220, 50256, 275]
+
+
 def test_piece_lengths():
     for n in range(1, 5000, 7):
         pieces = packing.piece_lengths(n, 1024)
@@ -70,6 +78,13 @@ def test_elias_fano():
         coded = elias_fano.EliasFano(data, 2)
         assert (coded.all() == values).all() and coded.end == len(data)
         assert [coded.select(i) for i in range(0, n, 13)] == [int(v) for v in values[::13]]
+        for a, b in ((0, n), (n // 3, n // 2), (max(0, n - 2), n)):
+            assert (coded.selected(np.arange(a, b)) == values[a:b]).all()
+        if n:
+            some = rnd.integers(0, n, 40)
+            assert (coded.selected(some) == values[some]).all()
+            with pytest.raises(IndexError):
+                coded.selected(np.array([n]))
     with pytest.raises(ValueError):
         elias_fano.encode(np.array([2, 1]))
 
@@ -87,7 +102,7 @@ def test_segments(spark):
         segment = binary_ids.Segment(bytes(row.data))
         ends = segment.boundaries()
         assert all((segment.document(i) == segment.ids[ends[i] : ends[i + 1]]).all() for i in range(segment.n_docs))
-    assert binary_ids.build_segment([None, 1 << 62, (1 << 62) + 5], [b"\1\0\0\0"] * 3, 4)
+    assert binary_ids.Segment(binary_ids.build_segment([None, 1 << 62, (1 << 62) + 5], [b"\1\0\0\0"] * 3, 4)).doc_ids() == [None, 1 << 62, (1 << 62) + 5]
     empty = common.scratch_path(spark, "test")
     binary_ids.write_segments(frame(spark, []), PATH, empty)
     assert rows_of(binary_ids.read_documents(spark, empty), "doc_id") == []
