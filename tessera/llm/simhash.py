@@ -3,7 +3,8 @@
 1. Each document becomes a 64-bit fingerprint of its word shingles; equal
    fingerprints are one from here on, whatever the number of copies.
 2. Two fingerprints within ``DISTANCE`` bits agree on one of ``DISTANCE + 1``
-   blocks of their bits.  Each fingerprint goes to its cell of every block.
+   blocks of their bits, and on two of ``DISTANCE + 2``.  Each fingerprint goes to
+   its cell of every block, or of every two blocks if there are very many.
 3. A cell sorts its fingerprints by Gray rank, so that neighbours share bits,
    and factors the shared ones into the nodes of a tree: a node holds the bits
    that all below it share and its parent does not.  A search adds up
@@ -16,15 +17,17 @@ A cell above an even share of the rows is cut into segments, and every two of
 them meet in a task of their own.
 
 Cases: null, empty and blank texts have fingerprint zero and are linked like
-any other; rows with one id are one document; a null id counts as the greatest
-and comes back as null; an empty table stays empty; other columns are ignored.
+any other; a text of any length is read in pieces; rows with one id are one
+document; a null id ties nothing and is nobody's smallest id, so a component of
+such rows alone has a null id; an empty table stays empty; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from itertools import accumulate
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
@@ -34,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import common
-from tessera.llm.components import components
+from tessera.llm.components import components, local_roots
 
 SHINGLE = 4
 DISTANCE = 4
@@ -42,29 +45,58 @@ SEED = 42
 FANOUT = 8
 #: Rows of a cell up to which it is never cut.
 CELL_ROWS = 2000
+#: Blocks that make a cell, and fingerprints above which one more makes it: cells of 12 bits would hold too many.
+KEYED = 1
+MANY_PRINTS = 1 << 27
 #: Rows that a task searches at once, and pairs of a search that it holds at once.
 CHUNK_ROWS = 50_000
 CHUNK_PAIRS = 2_000_000
-LAST_ID = (1 << 63) - 1
-_BITS = np.uint64(64)
+#: Bytes of a text that are cut into words, and hashes whose bits are counted, at once.
+PIECE_BYTES = 1 << 20
+PIECE_HASHES = 1 << 16
+_BLANK = frozenset(common.BLANKS.encode())
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """The fingerprint as a signed 64-bit number."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= size:
-        hashes = [digest(joined, SEED)]
-    else:
+def shingle_hashes(text: str | None, size: int) -> Iterator[np.ndarray]:
+    """XXH64 of every run of ``size`` words, repeats included; of all words if they are fewer; nothing without words.
+
+    Long texts come in pieces, so that neither their words nor their hashes are all held at once.
+    """
+    raw = (text or "").encode("utf-8", "surrogatepass").lower()
+    digest, at, kept, whole = xxhash.xxh64_intdigest, 0, [], True
+    while at < len(raw):
+        end = min(at + PIECE_BYTES, len(raw))
+        while end < len(raw) and raw[end] not in _BLANK:
+            end += 1
+        words = kept + raw[at:end].split()
+        at = end
+        if len(words) < size and at < len(raw):
+            kept = words
+            continue
+        if len(words) <= size and whole and at >= len(raw):
+            if words:
+                yield np.array([digest(b" ".join(words), SEED)], np.uint64)
+            return
+        joined = b" ".join(words)
         ends = list(accumulate(len(w) + 1 for w in words))
         starts = [0, *ends]
-        hashes = [digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[size - 1 :])]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
-    mostly = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
-    return int(np.packbits(mostly, bitorder="little").view("<i8")[0])
+        yield np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[size - 1 :])], np.uint64)
+        kept, whole = words[len(words) - size + 1 :], False
+
+
+def majority(pieces: Iterable[np.ndarray]) -> int:
+    """The bits that more than half of all hashes have set, as a signed 64-bit number; 0 without any."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in pieces:
+        for part in np.split(hashes, range(PIECE_HASHES, len(hashes), PIECE_HASHES)):
+            ones += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    """The fingerprint as a signed 64-bit number."""
+    return majority(shingle_hashes(text, size))
 
 
 def _fingerprints(texts: pd.Series) -> pd.Series:
@@ -83,19 +115,6 @@ def gray_rank(values: np.ndarray) -> np.ndarray:
     return rank
 
 
-def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest vertex of each vertex's component; edges are arrays of ends."""
-    root = np.arange(n)
-    while len(a):
-        x, y = root[a], root[b]
-        open_ = x != y
-        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
-        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-        while np.any((far := root[root]) != root):
-            root = far
-    return root
-
-
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The numbers of all ranges, one after the other."""
     return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
@@ -201,62 +220,59 @@ def _cell_edges(distance: int):
     return run
 
 
-def link(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Edges (a, b) between owners that connect all fingerprints within ``distance``.
+def dealt(rows: DataFrame, limit: int, key: Column) -> DataFrame:
+    """``rows`` with a ``cell`` each, sorted by cell in as many partitions as the session shuffles.
 
-    ``prints`` has distinct fingerprints ``fp`` and their ``owner``; it is read
-    more than once: hand over a written table.
+    A cell of more than ``limit`` rows is cut into segments by ``key``, and every two
+    of them meet in a cell of their own.  ``rows`` is read more than once: hand
+    over a written table or a short plan.
     """
-    n_parts = common.partitions(prints.sparkSession)
-    blocks = distance + 1
-    cuts = [64 * k // blocks for k in range(blocks + 1)]
-    # A block's values leave this many low bits of a cell number for segments.
+    # A cell's number leaves its low bits for two segments.
     room = 20
-    values = [
-        F.shiftleft(F.shiftleft(F.shiftrightunsigned("fp", a).bitwiseAND((1 << (b - a)) - 1), 4).bitwiseOR(F.lit(k).cast("long")), 2 * room)
-        for k, (a, b) in enumerate(zip(cuts, cuts[1:]))
-    ]
-    rows = prints.select(F.explode(F.array(*values)).alias("cell"), "fp", "owner")
     sizes = rows.groupBy("cell").agg(F.count("*").alias("n"))
-    limit = max(CELL_ROWS, math.ceil(blocks * prints.count() / n_parts))
     hot = common.written(sizes.where(F.col("n") > limit).select("cell", F.ceil(2 * F.col("n") / limit).cast("long").alias("segments")), "hot-cells")
     routed = rows.join(hot, "cell", "left")
-    segment = F.pmod(F.xxhash64("fp"), F.col("segments"))
+    segment = F.pmod(key, F.col("segments"))
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("segments") - 1), lambda s: s != segment)
     pairs = F.transform(others, lambda s: F.shiftleft(F.least(s, segment), room) + F.greatest(s, segment))
     places = F.when(F.col("segments").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)
-    routed = routed.select("cell", F.explode(places).alias("place"), "fp", "owner").select((F.col("cell") + F.col("place")).alias("cell"), "fp", "owner")
-    return routed.repartition(n_parts, "cell").sortWithinPartitions("cell").mapInArrow(_cell_edges(distance), "a long, b long")
+    routed = routed.withColumn("place", F.explode(places)).withColumn("cell", F.when(F.col("segments").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", "place")))
+    return routed.drop("segments", "place").repartition(common.partitions(rows.sparkSession), "cell").sortWithinPartitions("cell")
+
+
+def link(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Edges (a, b) between owners that connect all fingerprints within ``distance``.
+
+    ``prints`` has distinct fingerprints ``fp`` and their ``owner``; it is read
+    more than once: hand over a written table.
+    """
+    n = prints.count()
+    keyed = KEYED if n <= MANY_PRINTS else KEYED + 1
+    cuts = [64 * k // (distance + keyed) for k in range(distance + keyed + 1)]
+    blocks = [F.shiftrightunsigned("fp", a).bitwiseAND((1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:])]
+    chosen = list(combinations(range(len(blocks)), keyed))
+    cells = [F.xxhash64(F.lit(k), *[blocks[i] for i in some]) for k, some in enumerate(chosen)]
+    rows = prints.select(F.explode(F.array(*cells)).alias("cell"), "fp", "owner")
+    limit = max(CELL_ROWS, math.ceil(len(chosen) * n / common.partitions(prints.sparkSession)))
+    return dealt(rows, limit, F.xxhash64("fp")).select("cell", "fp", "owner").mapInArrow(_cell_edges(distance), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """Fingerprint (signed) and component of every row: ``doc_id``, ``fp``, ``component_id``."""
     common.prepare(docs.sparkSession)
-    owner = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID))
-    rows = common.written(docs.select(owner.alias("doc_id"), fingerprint_column(F.col(f"`{text_col}`")).alias("fp")), "fingerprints")
-    prints = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("owner")), "distinct-fingerprints")
-    edges = link(prints, distance)
-    repeated = rows.groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("doc_id")
-    if not repeated.isEmpty():  # rows with one id and different texts: their fingerprints are one document
-        ties = rows.join(repeated, "doc_id").join(prints, "fp").select(F.col("owner").alias("a"), F.col("doc_id").alias("b"))
-        edges = edges.unionByName(ties)
-    roots = components(edges)
-    placed = prints.join(roots.withColumnRenamed("v", "owner"), "owner", "left").select("fp", F.coalesce("root", "owner").alias("component_id"))
+    rows = common.written(docs.select(common.named(id_col).cast("long").alias("doc_id"), fingerprint_column(common.named(text_col)).alias("fp")), "fingerprints")
+    prints = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    edges = link(prints.select("fp", F.col("fp").alias("owner")), distance)
+    by_id = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
+    repeated = common.written(by_id.where("low <> high").select("doc_id", "low"), "repeated-ids")
+    # Rows with one id and different texts: their fingerprints are one document.
+    edges = edges.unionByName(rows.join(repeated, "doc_id").select(F.col("low").alias("a"), F.col("fp").alias("b")))
+    placed = prints.join(components(edges).withColumnRenamed("v", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     placed = common.written(placed, "fingerprint-components")
-    out = rows.join(placed, "fp")
-    return out.select(*[F.when(F.col(c) != LAST_ID, F.col(c)).alias(c) if c != "fp" else F.col(c) for c in ("doc_id", "fp", "component_id")])
+    groups = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(placed.join(groups, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def digest(found: DataFrame) -> DataFrame:
     """The columns of the near-duplicate contract."""
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the smallest id of each component alone, once."""
-    found = common.written(near_duplicates(docs.select(id_col, text_col), id_col=id_col, text_col=text_col), "components")
-    gone = found.where("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates([id_col])
