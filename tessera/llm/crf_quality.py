@@ -7,17 +7,23 @@ lines all carry the document's label, and a document's quality is the mean of
 its lines' forward-backward marginals, weighted by their length, on a scale
 that is fitted to the same sample.
 
+The sample is bounded in documents and in lines: documents of more than
+``TRAIN_DOC_LINES`` lines, and those of greatest hash beyond ``TRAIN_LINES`` lines of
+all, are not learned from, and repeated rows once.  Every document is scored.
+
 Cases: a null text is empty and an empty text is one blank line, and both get a
-score; a label that is null is not learned from; rows with one id are scored one
-by one; without both labels in the sample every score is the share of label 1
-(0.5 if there are none); an empty table stays empty; labels, lang, source and
-ids are never features.
+score; a text of any length is one chain of its lines; a label that is null is not
+learned from; a null id stays null, is not held out and not learned from; rows
+with one id are scored one by one; without both labels in the sample every score
+is the share of label 1 (0.5 if there are none); an empty table stays empty; other
+columns, labels, lang, source and ids are never features.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 from operator import eq
 
 import numpy as np
@@ -27,8 +33,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-#: Labelled documents that are learned from, those of least hash.
+#: Labelled documents that are learned from, those of least hash; the lines that they may have together, and one alone.
 TRAIN_DOCS = 3000
+TRAIN_LINES = 400_000
+TRAIN_DOC_LINES = 10_000
 THRESHOLD = 0.7
 ROUNDS = 150
 RIDGE = 1e-3
@@ -199,20 +207,32 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS) -> Model:
-    """Train on the ``train_docs`` labelled documents of least hash that are not held out."""
+def learn(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> Model:
+    """Train on the ``train_docs`` labelled documents of least hash that are not held out, up to ``train_lines`` lines.
+
+    The sample is found by all tasks at once and written; the driver reads what is
+    left of it, some 200 bytes a line.
+    """
     common.prepare(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
     chosen = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.where(F.size(F.split("text", "\n", -1)) <= TRAIN_DOC_LINES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, text, label in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 x, weight, _ = features([text])
-                yield pa.RecordBatch.from_pydict({"doc_id": [doc_id], "label": pa.array([label], pa.int32()), "x": [x.astype("<f4").tobytes()], "weight": [weight.astype("<f8").tobytes()]})
-
-    sample = sorted(rows.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, x binary, weight binary").toLocalIterator(), key=lambda r: (r.doc_id, r.x))
+                columns = {"doc_id": [doc_id], "label": pa.array([label], pa.int32()), "n_lines": [len(weight)], "x": [x.astype("<f4").tobytes()], "weight": [weight.astype("<f8").tobytes()]}
+                yield pa.RecordBatch.from_pydict(columns)
+
+    found = common.written(rows.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, n_lines long, x binary, weight binary"), "labelled-lines")
+    found = found.withColumn("key", F.xxhash64("x"))
+    some = found.select("doc_id", "key", "n_lines").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "key").limit(train_docs).collect()
+    kept = [(r.doc_id, r.key) for r, lines in zip(some, accumulate(r.n_lines for r in some)) if lines <= train_lines]
+    kept = docs.sparkSession.createDataFrame(kept, "doc_id long, key long")
+    sample = found.join(F.broadcast(kept), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).collect()
+    sample = sorted(sample, key=lambda r: (r.doc_id, r.x))
     weights = [np.frombuffer(r.weight, "<f8") for r in sample]
     x = np.concatenate([np.zeros((0, WIDTH)), *[np.frombuffer(r.x, "<f4").reshape(-1, WIDTH) for r in sample]])
     return train(x, np.concatenate([np.zeros(0), *weights]), np.array([len(w) for w in weights], np.int64), np.array([r.label for r in sample], np.int64))
