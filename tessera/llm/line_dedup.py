@@ -112,7 +112,7 @@ def shared_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     n_parts = common.partitions(spark)
     key = line_key(F.col("line"))
     lines = (
-        docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(_lines(F.col(text_col))).alias("i", "line"))
+        docs.select(F.coalesce(common.named(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(common.named(text_col)).alias("text_hash"), F.posexplode(_lines(common.named(text_col))).alias("i", "line"))
         .select("doc", "text_hash", "i", key.alias("key"))
         .where(F.char_length("key") >= min_chars)
         .select("doc", "text_hash", "i", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
@@ -146,16 +146,16 @@ def shared_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` without the lines whose key a smaller document holds first."""
     drops = shared_lines(docs, id_col=id_col, text_col=text_col, min_chars=min_chars)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(text_col).alias("text_hash"))
+    rows = docs.select(common.as_row(docs), F.coalesce(common.named(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(common.named(text_col)).alias("text_hash"))
     joined = rows.join(drops, ["doc", "text_hash"], "left")
-    lines = _lines(F.col(f"row.{text_col}"))
+    lines = _lines(common.named(text_col, "row"))
     numbers = F.sequence(F.lit(0), F.col("n_lines") - 1)
     kept = F.array_join(F.transform(F.array_except(numbers, F.col("lines")), lambda i: F.get(F.col("split"), i)), "\n")
     out = joined.select("row", "lines", lines.alias("split")).select("row", "lines", "split", F.size("split").alias("n_lines"))
-    text = F.when(F.col("lines").isNull(), F.coalesce(F.col(f"row.{text_col}"), F.lit(""))).otherwise(kept)
+    text = F.when(F.col("lines").isNull(), F.coalesce(common.named(text_col, "row"), F.lit(""))).otherwise(kept)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return out.select(
-        *[text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names],
+        *[text.alias(c) if c == text_col else common.named(c, "row").alias(c) for c in names],
         F.col("n_lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_dropped"),
     )
