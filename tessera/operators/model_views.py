@@ -153,7 +153,7 @@ def cards(models: DataFrame, mode: str = "all") -> DataFrame:
 
 def column_mode(entities: Column) -> Column:
     """Columns that a map of so many tables shows."""
-    return F.when(entities <= 40, "all").when(entities <= 250, "keys").otherwise("none")
+    return F.when(entities < 40, "all").when(entities < 250, "keys").otherwise("none")
 
 
 def in_order(entities: DataFrame) -> DataFrame:

@@ -70,6 +70,37 @@ def layout(files: DataFrame) -> DataFrame:
     return _first(rows, ["entity"], MOST_PLACES)
 
 
+UI = (
+    "columnMode string, columnModeChosen boolean, direction string, selection string, sidePanelOpen boolean, expanded array<string>, viewport struct<x:double,y:double,scale:double>, "
+    "filters struct<disabledSchemas:array<string>,disabledSources:array<string>,disabledEngines:array<string>,hideExternal:boolean,hideInferred:boolean,hideJoinTables:boolean,focusHops:int>"
+)
+# What a map may show, and which way it may run.
+COLUMN_MODES, DIRECTIONS, HOPS = ("all", "keys", "none"), ("LR", "TB"), (1, 2)
+
+
+def ui_state(files: DataFrame, column_mode: str = "all", direction: str = "LR") -> DataFrame:
+    """The state of a map's controls, a row for each (workspace, text); what is missing or wrong has its default."""
+    s = F.from_json("text", UI, {"mode": "PERMISSIVE"})
+    texts = lambda c: F.coalesce(F.filter(c, lambda x: x.isNotNull()), F.array().cast("array<string>"))
+    flag = lambda c, default=False: F.coalesce(c, F.lit(default))
+    one_of = lambda c, some, default: F.when(c.isin(*some), c).otherwise(F.lit(default))
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    v, f = s["viewport"], s["filters"]
+    return files.select(
+        "workspace",
+        one_of(s["columnMode"], COLUMN_MODES, column_mode).alias("column_mode"),
+        flag(s["columnModeChosen"]).alias("column_mode_chosen"),
+        one_of(s["direction"], DIRECTIONS, direction).alias("direction"),
+        s["selection"].alias("selection"),
+        flag(s["sidePanelOpen"], True).alias("side_panel_open"),
+        texts(s["expanded"]).alias("expanded"),
+        F.when(finite(v["x"]) & finite(v["y"]) & finite(v["scale"]) & (v["scale"] > 0), v).alias("viewport"),
+        *[texts(f[c]).alias(n) for c, n in (("disabledSchemas", "disabled_schemas"), ("disabledSources", "disabled_sources"), ("disabledEngines", "disabled_engines"))],
+        *[flag(f[c]).alias(n) for c, n in (("hideExternal", "hide_external"), ("hideInferred", "hide_inferred"), ("hideJoinTables", "hide_join_tables"))],
+        F.when(f["focusHops"].isin(*HOPS), f["focusHops"]).alias("focus_hops"),
+    )
+
+
 @dataclass(frozen=True)
 class Config:
     """Settings within their bounds."""

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 from typing import Any, get_args, get_origin, get_type_hints
 
 import pandas as pd
@@ -39,19 +40,25 @@ PARSED = "workspace string, path string, kind string, parsed string"
 MODEL = "workspace string, part string, seq int, id string, record string"
 
 
-def decode(kind: Any, value: Any) -> Any:
-    """A dataclass of ``tessera.model`` back from its dictionary."""
-    if value is None:
-        return None
+@cache
+def _decoder(kind: Any) -> Callable[[Any], Any]:
+    """A function that gives a value of a type of ``tessera.model`` back from its dictionary; made once for each type."""
     args = [a for a in get_args(kind) if a is not type(None)]
     if get_origin(kind) is list:
-        return [decode(args[0], x) for x in value]
+        one = _decoder(args[0])
+        return lambda value: None if value is None else [one(x) for x in value]
     if get_origin(kind) is not None and args and isinstance(kind, type(int | None)):
-        return decode(args[0], value)
+        return _decoder(args[0])
     if hasattr(kind, "__dataclass_fields__"):
         hints = get_type_hints(kind, vars(model))
-        return kind(**{n: decode(hints[n], value[n.rstrip("_")]) for n in kind.__dataclass_fields__ if n.rstrip("_") in value})
-    return value
+        fields = [(n, n.rstrip("_"), _decoder(hints[n])) for n in kind.__dataclass_fields__]
+        return lambda value: None if value is None else kind(**{n: read(value[key]) for n, key, read in fields if key in value})
+    return lambda value: value
+
+
+def decode(kind: Any, value: Any) -> Any:
+    """A dataclass of ``tessera.model`` back from its dictionary."""
+    return _decoder(kind)(value)
 
 
 def parse_files(files: DataFrame, disabled: tuple[str, ...] = ()) -> DataFrame:
@@ -114,7 +121,9 @@ def build_models(parsed: DataFrame, infer_relations: bool = True) -> DataFrame:
     """Models of all workspaces as rows (workspace, part, seq, id, record): entities, relations, enums, engines, sources, warnings.
 
     A workspace is resolved in one task: its records are declarations, orders
-    of magnitude smaller than its files.
+    of magnitude smaller than its files, of which a scan has ``MOST_FILES`` at
+    most.  Workspaces are dealt to as many tasks as the session shuffles, however
+    small their records are.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -123,7 +132,9 @@ def build_models(parsed: DataFrame, infer_relations: bool = True) -> DataFrame:
         rows = [(group.workspace.iloc[0], part, i, str(r.get("id", "")), json.dumps(r)) for part, some in built.items() for i, r in enumerate(some)]
         return pd.DataFrame(rows, columns=["workspace", "part", "seq", "id", "record"])
 
-    return parsed.groupBy("workspace").applyInPandas(run, MODEL)
+    # A number that is asked for is kept by adaptive execution, which would put small groups into one task.
+    tasks = int(parsed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parsed.repartition(tasks, "workspace").groupBy("workspace").applyInPandas(run, MODEL)
 
 
 PROVENANCE = "struct<derivation:string,confidence:string,merged:boolean,refs:array<struct<file:string,line:int>>,notes:array<string>>"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Scores of the tiers.
@@ -48,3 +48,9 @@ def search(items: DataFrame, query: str, limit: int = LIMIT) -> DataFrame:
     penalty = F.when(F.col("kind") == "column", COLUMN_PENALTY).otherwise(0.0)
     hits = items.withColumn("score", score(F.col("label"), query) - penalty).where("score IS NOT NULL")
     return hits.orderBy(F.desc("score"), F.length("label"), "label").limit(limit)
+
+
+def matched(hits: DataFrame, entity: str = "entity") -> DataFrame:
+    """Entities that have a hit, once each, in the order of their best: (entity, place).  Hits are as few as ``search`` gives."""
+    best = hits.groupBy(entity).agg(F.min(F.struct((-F.col("score")).alias("score"), F.length("label").alias("length"), "label")).alias("best"))
+    return best.select(entity, F.row_number().over(Window.orderBy("best")).alias("place"))

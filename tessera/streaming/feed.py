@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import json
+import threading
 from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.session import children, cut, remove
+
+T = TypeVar("T")
+
 #: Quiet time after events on files, settings and folders, in milliseconds.
 QUIET_MS = {"files": 1000, "settings": 400, "folders": 300}
 
@@ -63,30 +69,75 @@ class Rescan:
     """A ``foreachBatch`` sink: rebuilds what changed workspaces say, and publishes a result only if it differs.
 
     ``load`` reads the files of some workspaces (a one-column frame), ``build``
-    makes the result, ``publish`` gets the rows whose signature is new.
-    Batches that are replayed after a failure publish nothing twice.
+    makes the result, ``publish`` gets the rows whose signature is new and the
+    batch's number.  Signatures lie in one folder for each batch.  A batch that is
+    run again after a failure compares with earlier batches alone, so it
+    publishes the same rows under the same number: a publisher that overwrites
+    what it wrote under a number, as ``to_folder`` does, publishes nothing twice.
+    Every ``every`` batches the folder of a batch has all signatures, and those
+    before the last such folder but one go.
     """
 
-    def __init__(self, load: Callable[[DataFrame], DataFrame], build: Callable[[DataFrame], DataFrame], publish: Callable[[DataFrame, int], None], signatures: str):
-        self.load, self.build, self.publish, self.signatures = load, build, publish, signatures
+    def __init__(self, load: Callable[[DataFrame], DataFrame], build: Callable[[DataFrame], DataFrame], publish: Callable[[DataFrame, int], None], signatures: str, every: int = 50):
+        self.load, self.build, self.publish, self.signatures, self.every = load, build, publish, signatures.rstrip("/"), every
 
-    def known(self, spark: SparkSession) -> DataFrame:
-        empty = spark.createDataFrame([], "workspace string, signature string, batch long")
-        try:
-            rows = spark.read.schema(empty.schema).parquet(self.signatures)
-        except Exception:  # noqa: BLE001 - nothing was published yet
-            rows = empty
-        return rows.groupBy("workspace").agg(F.max_by("signature", "batch").alias("signature"))
+    SCHEMA = "workspace string, signature string, seen long"
+
+    def _batches(self, spark: SparkSession) -> list[int]:
+        return sorted(int(n.removeprefix("batch=")) for n in children(spark, self.signatures) if n.startswith("batch="))
+
+    def known(self, spark: SparkSession, before: int | None = None) -> DataFrame:
+        """The latest signature of each workspace, from the batches before one: (workspace, signature, seen)."""
+        folders = [f"{self.signatures}/batch={n}" for n in self._batches(spark) if before is None or n < before]
+        rows = spark.read.schema(self.SCHEMA).parquet(*folders) if folders else spark.createDataFrame([], self.SCHEMA)
+        return rows.groupBy("workspace").agg(F.max_by("signature", "seen").alias("signature"), F.max("seen").alias("seen"))
 
     def __call__(self, events: DataFrame, batch: int) -> None:
         spark = events.sparkSession
         touched = events.select("workspace").distinct()
-        result = self.build(self.load(touched)).persist()
+        result = cut(self.build(self.load(touched)), "rebuilt")
         row = F.struct(*[c for c in result.columns if c != "workspace"])
         now = result.groupBy("workspace").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.to_json(row)))), 256).alias("signature"))
-        changed = now.join(self.known(spark), ["workspace", "signature"], "left_anti").persist()
-        if not changed.isEmpty():
-            self.publish(result.join(changed.select("workspace"), "workspace", "left_semi"), batch)
-            changed.withColumn("batch", F.lit(batch).cast("long")).write.mode("append").parquet(self.signatures)
-        changed.unpersist()
-        result.unpersist()
+        before = self.known(spark, batch)
+        changed = cut(now.join(before.select("workspace", "signature"), ["workspace", "signature"], "left_anti").withColumn("seen", F.lit(batch).cast("long")), "changed")
+        if changed.isEmpty():
+            return
+        self.publish(result.join(changed.select("workspace"), "workspace", "left_semi"), batch)
+        whole = batch % self.every == 0
+        rows = changed.unionByName(before.join(changed, "workspace", "left_anti")) if whole else changed
+        rows.write.mode("overwrite").parquet(f"{self.signatures}/batch={batch}")
+        if whole:
+            for n in self._batches(spark):
+                if n < batch - self.every:
+                    remove(spark, f"{self.signatures}/batch={n}")
+
+
+def to_folder(path: str) -> Callable[[DataFrame, int], None]:
+    """A publisher that writes each batch to a folder of its own, once however often it runs."""
+    return lambda rows, batch: rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+class Latest:
+    """Runs of one thing of which only the newest counts: a new run cancels the Spark jobs of the one before."""
+
+    def __init__(self, spark: SparkSession, name: str = "scan"):
+        self.spark, self.name, self.newest, self._lock = spark, name, 0, threading.Lock()
+
+    def run(self, work: Callable[[], T]) -> T | None:
+        """What ``work`` gives, None if a newer run began meanwhile.  Call it in a thread of its own."""
+        context = self.spark.sparkContext
+        with self._lock:
+            if self.newest:
+                context.cancelJobsWithTag(f"{self.name}-{self.newest}")
+            self.newest += 1
+            mine = self.newest
+        context.addJobTag(f"{self.name}-{mine}")
+        try:
+            out = work()
+        except Exception:
+            if mine != self.newest:
+                return None
+            raise
+        finally:
+            context.removeJobTag(f"{self.name}-{mine}")
+        return out if mine == self.newest else None

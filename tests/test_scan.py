@@ -1,7 +1,12 @@
 """From folders to models, on Spark."""
 
+import datetime
+import subprocess
+
+from pyspark.sql import functions as F
+
 from tessera.operators import scan
-from tessera.sources import files
+from tessera.sources import cache, files
 from tessera.sources.globs import expand_braces, glob_regex
 
 SCHEMA = "CREATE TABLE users (id int PRIMARY KEY, email text);\nCREATE TABLE posts (id int PRIMARY KEY, user_id int, note text);\n"
@@ -50,8 +55,105 @@ def test_globs(spark):
 
 
 def test_priority(spark):
-    rows = spark.createDataFrame([("db/schema.sql",), ("tests/db/a.sql",), ("src/app.ts",), ("a/dockercompose.yml",)], "path string")
-    assert [r.p for r in rows.select(files.priority(rows.path).alias("p")).collect()] == [18, 2, 0, 0]
+    want = {"db/schema.sql": 18, "tests/db/a.sql": 2, "src/app.ts": 0, "a/docker-compose.yml": 0, "Db/x.ts": 0, "src/schema.rs": 10, "src/Shop.Model.cts": 10, "api/cart.schema.tsx": 10, "Data/ShopModelSnapshot.cs": 10,
+            "orm/a.py": 5, "alembic/v.py": 5, "demo/models.py": 4, "benchmarks/sql/x.sql": 2, "sql": 0, "schema.tsx": 0}
+    rows = spark.createDataFrame([(p,) for p in want], "path string")
+    assert {r.path: r.p for r in rows.select("path", files.priority(rows.path).alias("p")).collect()} == want
+
+
+def test_what_is_left_out(spark):
+    no = ("test/fixtures/schema.sql", "a/tests/x.py", "spec/m.rb", "src/test/java/A.java", "app/storage/framework/v.php", "db/1.down.sql", "db/down.sql", "M/A.Designer.cs", "a/user.test.ts", "a/user.spec.js", ".vscode-test/x.sql", "a/x.min.js", "a/x.test.d/b.sql", "node_modules/a.sql", "mine/skip.sql", "mine/skip.sql/x.sql")
+    yes = ("tmp/a.sql", "logs/b.sql", "db/1.up.sql", "src/testing/a.sql", "a/latest.sql", "storage/a.sql", "temp/x.py", "down.sql.py")
+    rows = spark.createDataFrame([(p, 10) for p in no + yes] + [("big.sql", files.MOST_BYTES + 1)], "path string, length long")
+    kept = files.wanted(rows, scan.include_regex(), ["**/mine/skip.sql"])
+    assert {r.path for r in kept.collect()} == set(yes)
+
+
+def test_the_likeliest_files_of_each_workspace(spark):
+    rows = [("a", f"src/f{i:03}.ts") for i in range(50)] + [("a", "db/schema.sql"), ("a", "docs/db/x.sql"), ("b", "src/one.ts")]
+    df = spark.createDataFrame(rows, "workspace string, path string")
+    got = files.candidates(df, scan.include_regex(), 3).cache()
+    assert [(r.workspace, r.path, r.truncated) for r in got.orderBy("workspace", F.desc("priority"), "path").collect()] == [
+        ("a", "db/schema.sql", True), ("a", "docs/db/x.sql", True), ("a", "src/f000.ts", True), ("b", "src/one.ts", False)]
+    assert [(r.workspace, "more than 3" in r.message) for r in files.truncation_warnings(got, 3).collect()] == [("a", True)]
+    assert files.candidates(df, scan.include_regex()).where("truncated").count() == 0
+    assert files.search_cap(100) == 2000 and files.search_cap(5000) == 20_000 and files.search_cap(10**6) == 200_000
+
+
+def test_decoding(spark):
+    word = "CREATE TABLE größe (id int);"
+    texts = {
+        "utf8": (word.encode(), word), "mark8": (b"\xef\xbb\xbf" + word.encode(), word), "mark16": (word.encode("utf-16"), word), "be": (b"\xfe\xff" + word.encode("utf-16-be"), word),
+        "bare16": (f"-- 中文 {word}".encode("utf-16-le"), f"-- 中文 {word}"), "bare16be": (f"-- 文 {word}".encode("utf-16-be"), f"-- 文 {word}"),
+        "latin": ("é = größe".encode("latin-1"), "\ufffd = gr\ufffd\ufffde"), "odd": (word.encode("utf-16-le") + b"x", word + "\ufffd"), "binary": (b"CREATE TABLE x\0\1\2\xff", None), "short": (b"a\0b\0", None), "empty": (b"", ""),
+    }
+    rows = spark.createDataFrame([(n, bytearray(raw)) for n, (raw, _) in texts.items()], "name string, content binary")
+    assert {r.name: r.t for r in rows.select("name", files.decode_text(rows.content).alias("t")).collect()} == {n: t for n, (_, t) in texts.items()}
+
+
+def test_down_migrations_and_fixtures_stay_out_of_the_model(spark, tmp_path):
+    tree = {
+        "migrations/001_members.up.sql": "CREATE TABLE members (id int PRIMARY KEY, joined date);",
+        "migrations/001_members.down.sql": "DROP TABLE members;",
+        "migrations/002_seed.up.sql": "INSERT INTO members VALUES (1, now());",
+        "migrations/002_seed.down.sql": "DROP TABLE members;",
+        "migrations/003_loans/up.sql": "ALTER TABLE members ADD COLUMN fee int;",
+        "migrations/003_loans/down.sql": "ALTER TABLE members DROP COLUMN joined;",
+        "test/fixtures/schema.sql": "CREATE TABLE pretend (id int);",
+    }
+    for name, text in tree.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    models = scan.build_models(scan.parse_files(files.read_tree(spark, str(tmp_path), scan.include_regex(), workspace="w")))
+    assert [(r.id, [c.name for c in r.columns]) for r in scan.entities(models).collect()] == [("members", ["id", "joined", "fee"])]
+
+
+def test_only_chosen_files_are_opened(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"m{i}.sql").write_text(f"CREATE TABLE t{i} (id int);")
+    read = lambda n: sorted(r.path for r in files.read_tree(spark, str(tmp_path), scan.include_regex(), most_files=n).collect())
+    assert read(2) == ["m0.sql", "m1.sql"] and len(read(9)) == 5
+    (tmp_path / "odd[1].sql").write_text("CREATE TABLE odd (id int);")
+    assert "odd[1].sql" in read(9)
+
+
+def test_files_of_a_revision(spark, tmp_path):
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True)
+    git("init", "-q")
+    for name, text in {"a.sql": "CREATE TABLE a (id int);", "gone.sql": "CREATE TABLE gone (id int);", "tests/t.sql": "CREATE TABLE t (id int);", "é b.sql": "-- é", "readme.md": "no"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    git("add", "-A")
+    git("commit", "-qm", "one")
+    (tmp_path / "gone.sql").unlink()
+    (tmp_path / "a.sql").write_text("CREATE TABLE a (id int, more int);")
+    (tmp_path / "new.sql").write_text("CREATE TABLE new (id int);")
+    got = {r.path: r.text for r in files.git_files(spark, str(tmp_path), "HEAD", scan.include_regex(), "w").collect()}
+    assert got == {"a.sql": "CREATE TABLE a (id int);", "gone.sql": "CREATE TABLE gone (id int);", "é b.sql": "-- é"}
+
+
+def test_cache_of_parsed_files(spark, tmp_path):
+    kept = cache.ParseCache(spark, f"{tmp_path}/cache")
+    schema = "workspace string, path string, size long, mtime timestamp, text string"
+    when = lambda h: datetime.datetime(2024, 1, 1, h)
+    one = [("w", "a.sql", 1, when(1), "CREATE TABLE a (id int);"), ("w", "b.sql", 1, when(1), "-- nothing"), ("w", "c.sql", 1, when(1), "CREATE TABLE c (id int);")]
+    read_paths = []
+
+    def scan_of(rows, after=None):
+        whole = spark.createDataFrame(rows, schema)
+
+        def read(listing):
+            read_paths.append(sorted(r.path for r in listing.collect()))
+            return whole.join(listing.select("workspace", "path"), ["workspace", "path"], "left_semi").select("workspace", "path", "text")
+
+        relist = (lambda: spark.createDataFrame(after, schema).drop("text")) if after else None
+        return sorted(r.path for r in kept.scan(whole.drop("text"), read, scan.parse_files, relist).collect())
+
+    assert scan_of(one) == ["a.sql", "c.sql"]
+    two = [one[1], ("w", "c.sql", 2, when(2), "CREATE TABLE c (id int, x int);")]
+    assert scan_of(two, after=[one[1], ("w", "c.sql", 3, when(3), "")]) == ["c.sql"]
+    assert scan_of(two) == ["c.sql"]
+    assert read_paths == [["a.sql", "b.sql", "c.sql"], ["c.sql"], ["c.sql"]]
 
 
 def test_what_readers_may_claim():
