@@ -36,6 +36,15 @@ LABELS = {
 }
 
 
+# Sentences of the Markdown document, which readers of its changes expect word by word.
+GENERATED = "> Generated on {} from the schema definitions in this repository. Re-export instead of editing by hand."
+NOTHING = "_No database schema was detected._"
+REDUCED = {
+    "keys": "_The schema is large, so the diagram only lists key columns. All columns are listed below._",
+    "none": "_The schema is large, so the diagram only shows tables and relations. Columns are listed below._",
+}
+
+
 @dataclass(frozen=True)
 class Choice:
     """What goes into a document."""
@@ -224,16 +233,15 @@ def to_markdown(model: dict, name: str = "workspace", generated: str = "", notes
         label, target = code(f"{source['file']}:{source['line'] + 1}"), link(source)
         return f"[{label}]({href(target)})" if target else label
 
-    out = [f"# {title}", "", f"> Generated on {generated} from the schema definitions in this repository. Re-export instead of editing by hand.", "", f"**{count_text(model)}**", ""]
+    out = [f"# {title}", "", GENERATED.format(generated), "", f"**{count_text(model)}**", ""]
     if model.get("engines"):
         out += ["**Databases:** " + ", ".join(e["label"] for e in model["engines"]), ""]
     if model.get("sources"):
         out += ["**Detected from:** " + ", ".join(f"{LABELS.get(s['kind'], s['kind'])} ({s['files']} {'file' if s['files'] == 1 else 'files'})" for s in model["sources"]), ""]
     if not model["entities"]:
-        return "\n".join([*out, "_No database schema was detected._", ""])
+        return "\n".join([*out, NOTHING, ""])
     diagram, mode = mermaid_with_mode(model)
-    said = {"keys": "_The schema is large, so the diagram only lists key columns. All columns are listed below._", "none": "_The schema is large, so the diagram only shows tables and relations. Columns are listed below._"}
-    out += ["## Diagram", "", *([said[mode], ""] if mode in said else []), "```mermaid", diagram, "```", "", "## Tables", "", "| Name | Kind | Columns | Relations | Defined in |", "|---|---|---|---|---|"]
+    out += ["## Diagram", "", *([REDUCED[mode], ""] if mode in REDUCED else []), "```mermaid", diagram, "```", "", "## Tables", "", "| Name | Kind | Columns | Relations | Defined in |", "|---|---|---|---|---|"]
     beside = adjacency(model)
     for e in defined:
         kind = "join table" if e.get("join_table") and e["kind"] == "table" else e["kind"]

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterable
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ ASPECT = 1.6
 #: Components beyond these are laid out as a grid, and so are those after the budget is spent.
 MOST_NODES, MOST_EDGES, BUDGET = 60, 250, 800
 #: Candidate wrappings of long ranks.
-WRAPS = 16
+WRAPS = 8
 
 Box = tuple[float, float]
 Place = tuple[float, float]
@@ -138,31 +139,31 @@ def _topological(ids: list[str], out_of: dict[str, set[str]]) -> list[str]:
     return ready + [v for v in ids if waiting[v] > 0]
 
 
-def _stack(layers: list[list[str]], sizes: dict[str, Box], across: bool, limit: float) -> dict[str, Place]:
-    """Layers side by side, each wrapped where it is longer than ``limit``."""
-    along = lambda v: sizes[v][0] if across else sizes[v][1]
-    cross = lambda v: sizes[v][1] if across else sizes[v][0]
-    strips: list[tuple[list[str], float]] = []
+def _strips(layer: list[str], length: dict[str, float], most: float) -> list[list[str]]:
+    """A layer in as many strips of about equal length as keep each near ``most``: a node goes where its middle lies."""
+    ends = list(accumulate(length[v] + NODE_GAP for v in layer))
+    n = max(1, math.ceil((ends[-1] - NODE_GAP) / most)) if most > 0 else len(layer)
+    share = ends[-1] / min(n, len(layer))
+    strips: dict[int, list[str]] = defaultdict(list)
+    for v, end in zip(layer, ends):
+        strips[int((end - (length[v] + NODE_GAP) / 2) / share)].append(v)
+    return [strips[i] for i in sorted(strips)]
+
+
+def _drawn(layers: list[list[str]], sizes: dict[str, Box], across: bool, most: float) -> dict[str, Place]:
+    """Places of all nodes, layer after layer along one axis, the strips of a layer closer together; each strip is a column in the middle of its width."""
+    thick, long = ({v: s[i] for v, s in sizes.items()} for i in ((0, 1) if across else (1, 0)))
+    spread, edge = {}, 0.0
     for layer in layers:
-        strip: list[str] = []
-        used = 0.0
-        for v in layer:
-            if strip and used + NODE_GAP + cross(v) > limit:
-                strips.append((strip, NODE_GAP))
-                strip, used = [], 0.0
-            used += cross(v) + (NODE_GAP if strip else 0)
-            strip.append(v)
-        strips.append((strip, RANK_GAP))
-    lengths = [sum(map(cross, s)) + NODE_GAP * (len(s) - 1) for s, _ in strips]
-    out, at = {}, 0.0
-    for (strip, gap), length in zip(strips, lengths):
-        width, y = max(map(along, strip)), (max(lengths) - length) / 2
-        for v in strip:
-            x = at + (width - along(v)) / 2
-            out[v] = (x, y) if across else (y, x)
-            y += cross(v) + NODE_GAP
-        at += width + gap
-    return out
+        for strip in _strips(layer, long, most):
+            middle = edge + max(thick[v] for v in strip) / 2
+            tops = [0.0, *accumulate(long[v] + NODE_GAP for v in strip)]
+            half = (tops[-1] - NODE_GAP) / 2
+            spread.update({v: (middle - thick[v] / 2, top - half) for v, top in zip(strip, tops)})
+            edge = 2 * middle - edge + NODE_GAP
+        edge += RANK_GAP - NODE_GAP
+    least = min(y for _, y in spread.values())
+    return {v: (x, y - least) if across else (y - least, x) for v, (x, y) in spread.items()}
 
 
 def extent(places: dict[str, Place], sizes: dict[str, Box]) -> Box:
@@ -170,19 +171,31 @@ def extent(places: dict[str, Place], sizes: dict[str, Box]) -> Box:
 
 
 def layered(ids: list[str], edges: list[tuple[str, str]], sizes: dict[str, Box], direction: str) -> dict[str, Place]:
-    """Of the wrappings of the layers, the one whose shape is nearest to the wanted aspect."""
+    """Layers of a component, wrapped where it would be far from the wanted shape.
+
+    The shorter the strips, the more of them lie side by side, so the length
+    at which the shape turns from too narrow to too wide is found by halving.
+    """
     across = direction == "LR"
     layers = ranks(ids, edges)
-    cross = lambda v: sizes[v][1] if across else sizes[v][0]
-    longest = max(sum(map(cross, layer)) + NODE_GAP * (len(layer) - 1) for layer in layers)
-    shortest = max(map(cross, ids))
-    limits = [longest * (shortest / longest) ** (i / WRAPS) if longest > 0 else 1 for i in range(WRAPS + 1)]
+    i = 1 if across else 0
+    low = max(sizes[v][i] for v in ids)
+    high = max(sum(sizes[v][i] + NODE_GAP for v in layer) for layer in layers)
+    tried = [_drawn(layers, sizes, across, high)]
+    for _ in range(WRAPS if high > low else 0):
+        w, h = extent(tried[-1], sizes)
+        most = (low + high) / 2
+        if (w / max(h, 1) < ASPECT) == across:
+            high = most
+        else:
+            low = most
+        tried.append(_drawn(layers, sizes, across, (low + high) / 2))
 
-    def badness(places: dict[str, Place]) -> float:
+    def off(places: dict[str, Place]) -> float:
         w, h = extent(places, sizes)
-        return round(abs(math.log(max(w, 1) / max(h, 1) / ASPECT)), 2)
+        return abs(math.log(max(w, 1) / max(h, 1)) - math.log(ASPECT))
 
-    return min((_stack(layers, sizes, across, max(limit, shortest)) for limit in limits), key=badness)
+    return min(tried, key=off)
 
 
 def grid(ids: list[str], sizes: dict[str, Box]) -> dict[str, Place]:

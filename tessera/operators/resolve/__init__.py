@@ -1,5 +1,5 @@
-"""Schema resolution: what the files of one workspace say, merged into one model."""
+"""What the files of one workspace say, replayed and combined: tables, and the links that are declared between them."""
 
-from tessera.operators.resolve.link import resolve
+from tessera.operators.resolve.link import settle
 
-__all__ = ["resolve"]
+__all__ = ["settle"]

@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, reduce
 from typing import Any, get_args, get_origin, get_type_hints
 
 import pandas as pd
@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera import model
-from tessera.functions.names import natural
 from tessera.model import Parsed, as_dict
-from tessera.operators.resolve import resolve
+from tessera.operators import assemble, linking
+from tessera.operators.resolve import settle
 from tessera.parsers import engines, parse_file
+from tessera.session import cut
 from tessera.sources.globs import glob_regex
 
 MOST_WARNINGS = 500
@@ -76,81 +77,79 @@ def parse_files(files: DataFrame, disabled: tuple[str, ...] = ()) -> DataFrame:
     return files.select("workspace", "path", "text").mapInArrow(run, PARSED)
 
 
-def build_model(parsed: list[Parsed], infer_relations: bool = True) -> dict:
-    """The resolved schema of one workspace with its engines and sources."""
-    out = resolve([p for p in parsed if p.kind != "engines"], infer_relations)
-    found: dict[str, dict] = {}
-
-    def add(engine: str, file: str, line: int, detail: str) -> None:
-        if engine in ENGINES:
-            evidence = {"file": file, "line": line, "detail": detail}
-            info = found.setdefault(engine, {"id": engine, "label": ENGINES[engine][0], "category": ENGINES[engine][1], "evidence": []})
-            if evidence not in info["evidence"]:
-                info["evidence"].append(evidence)
-
-    for p in parsed:
-        for h in p.engines:
-            add(h.engine, p.file, h.line, h.detail)
-    for e in out["entities"]:
-        if e.get("engine") and e["engine"] not in found and e.get("source"):
-            add(e["engine"], e["source"]["file"], e["source"]["line"], f'{e["sources"][0]} model "{e["name"]}"')
-    for info in found.values():
-        info["evidence"].sort(key=lambda x: (natural(x["file"]), x["line"]))
-    out["engines"] = sorted(found.values(), key=lambda x: (-len(x["evidence"]), x["label"]))
-    only = {kind: [x["id"] for x in out["engines"] if x["category"] == kind] for kind in ("relational", "document")}
-    for e in out["entities"]:
-        choice = only["document" if e["kind"] == "collection" else "relational"]
-        if not e.get("engine") and len(choice) == 1:
-            e["engine"] = choice[0]
-    files: dict[str, set] = {}
-    for p in parsed:
-        if p.entities or p.relations or p.enums or p.ops:
-            files.setdefault(p.kind, set()).add(p.file)
-    entities: dict[str, int] = {}
-    for e in out["entities"]:
-        for kind in [] if e.get("external") else e["sources"]:
-            entities[kind] = entities.get(kind, 0) + 1
-    summary = [{"kind": k, "files": len(files.get(k, ())), "entities": entities.get(k, 0)} for k in {**files, **entities}]
-    out["sources"] = sorted(summary, key=lambda s: (-s["entities"], -s["files"], s["kind"]))
-    own = [{"file": p.file, "line": line, "message": message} for p in parsed for line, message in p.warnings]
-    out["warnings"] = [{k: v for k, v in w.items() if v is not None} for w in own + out["warnings"]][:MOST_WARNINGS]
-    return out
+ENTITY = (
+    "id string, name string, schema string, kind string, model_names array<string>, sources array<string>, files array<string>, engine string, `group` string, comment string, "
+    f"external boolean, join_table boolean, source {linking.SOURCE}, columns {linking.COLUMNS}, indexes array<struct<name:string,columns:array<string>,unique:boolean>>, "
+    f"provenance {linking.PROVENANCE}"
+)
+RELATION = (
+    "id string, `from` string, from_columns array<string>, `to` string, to_columns array<string>, cardinality string, kind string, optional boolean, name string, on_delete string, "
+    f"on_update string, through string, through_name string, sources array<string>, source {linking.SOURCE}, provenance {linking.PROVENANCE}"
+)
+ENUM = "id string, name string, schema string, values array<string>, sources array<string>"
 
 
-def build_models(parsed: DataFrame, infer_relations: bool = True) -> DataFrame:
-    """Models of all workspaces as rows (workspace, part, seq, id, record): entities, relations, enums, engines, sources, warnings.
+def settled(parsed: DataFrame) -> DataFrame:
+    """What each workspace's declarations come to before links are weighed: rows (workspace, part, seq, record).
 
-    A workspace is resolved in one task: its records are declarations, orders
-    of magnitude smaller than its files, of which a scan has ``MOST_FILES`` at
-    most.  Workspaces are dealt to as many tasks as the session shuffles, however
-    small their records are.
+    A workspace is replayed in one task, since migrations rename and drop what
+    others made; its records are orders of magnitude smaller than its files,
+    of which a scan has ``MOST_FILES`` at most.  Workspaces are dealt to as many
+    tasks as the session shuffles, however small their records are.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         records = [decode(Parsed, json.loads(p)) for p in group.sort_values(["path", "kind"], kind="stable").parsed]
-        built = build_model(records, infer_relations)
-        rows = [(group.workspace.iloc[0], part, i, str(r.get("id", "")), json.dumps(r)) for part, some in built.items() for i, r in enumerate(some)]
-        return pd.DataFrame(rows, columns=["workspace", "part", "seq", "id", "record"])
+        out = settle([p for p in records if p.kind != "engines"])
+        own = [{"file": p.file, "line": line, "message": message} for p in records for line, message in p.warnings]
+        out["warnings"] = [{k: v for k, v in w.items() if v is not None} for w in own] + out["warnings"]
+        out["hints"] = [{"engine": h.engine, "file": p.file, "line": h.line, "detail": h.detail} for p in records for h in p.engines if h.engine in ENGINES]
+        out["kinds"] = [{"kind": p.kind, "file": p.file} for p in records if p.entities or p.relations or p.enums or p.ops]
+        rows = [(group.workspace.iloc[0], part, i, json.dumps(r)) for part, some in out.items() for i, r in enumerate(some)]
+        return pd.DataFrame(rows, columns=["workspace", "part", "seq", "record"])
 
     # A number that is asked for is kept by adaptive execution, which would put small groups into one task.
     tasks = int(parsed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return parsed.repartition(tasks, "workspace").groupBy("workspace").applyInPandas(run, MODEL)
+    return parsed.repartition(tasks, "workspace").groupBy("workspace").applyInPandas(run, "workspace string, part string, seq long, record string")
 
 
-PROVENANCE = "struct<derivation:string,confidence:string,merged:boolean,refs:array<struct<file:string,line:int>>,notes:array<string>>"
-ENTITY = (
-    "id string, name string, schema string, kind string, model_names array<string>, sources array<string>, files array<string>, engine string, `group` string, comment string, "
-    "external boolean, join_table boolean, source struct<file:string,line:int>, "
-    "columns array<struct<name:string,type:string,nullable:boolean,primary_key:boolean,unique:boolean,generated:boolean,`default`:string,comment:string,is_array:boolean,enum_ref:string,"
-    "references:struct<entity:string,column:string,inferred:boolean>,implied:boolean>>, indexes array<struct<name:string,columns:array<string>,unique:boolean>>, "
-    f"provenance {PROVENANCE}"
-)
-RELATION = (
-    "id string, `from` string, from_columns array<string>, `to` string, to_columns array<string>, cardinality string, kind string, optional boolean, name string, on_delete string, "
-    "on_update string, through string, through_name string, sources array<string>, source struct<file:string,line:int>, "
-    f"provenance {PROVENANCE}"
-)
-ENUM = "id string, name string, schema string, values array<string>, sources array<string>"
+def build_models(parsed: DataFrame, infer_relations: bool = True) -> DataFrame:
+    """Models of all workspaces as rows (workspace, part, seq, id, record): entities, relations, enums, engines, sources, warnings."""
+    rows = cut(settled(parsed), "settled")
+    tables = part(rows, "tables", linking.TABLE)
+    links = part(rows, "links", linking.LINK)
+    links = cut(linking.without_doubles(linking.with_columns(links, tables), tables), "links")
+    links, dead = linking.living(links, tables)
+    tables = cut(linking.implied_columns(links, tables), "tables")
+    links = linking.finished(links, tables)
+    if infer_relations:
+        known = linking.referenced(links, tables)
+        more = linking.inferred(links.drop("optional"), known)
+        links = cut(links.unionByName(linking.finished(more, tables)), "links")
+    tables = linking.referenced(links, tables)
+    links, tables = linking.junctions(links, tables)
+    links, tables = cut(links, "links"), cut(tables, "tables")
+    found = assemble.entities(tables, links)
+    engines = assemble.engines(part(rows, "hints", "engine string, file string, line int, detail string"), found, ENGINES)
+    found, engines = cut(found, "entities"), cut(engines, "engines")
+    parts = {
+        "entities": assemble.with_engines(found, engines),
+        "relations": assemble.relations(links, found),
+        "enums": assemble.enums(part(rows, "enums", f"{ENUM}, source {linking.SOURCE}")),
+        "engines": engines,
+        "sources": assemble.sources(part(rows, "kinds", "kind string, file string"), found),
+        "warnings": assemble.warnings(part(rows, "warnings", "file string, line int, message string"), dead, MOST_WARNINGS),
+    }
+    return reduce(DataFrame.unionByName, [assemble.as_rows(df, name) for name, df in parts.items()])
+
+
+def collected(models: DataFrame, workspace: str | None = None) -> dict[str, list[dict]]:
+    """One workspace's model on the driver: a list of records for each part."""
+    rows = models if workspace is None else models.where(F.col("workspace") == workspace)
+    out: dict[str, list[dict]] = {name: [] for name in ("entities", "relations", "enums", "engines", "sources", "warnings")}
+    for row in sorted(rows.select("part", "seq", "record").collect()):
+        out[row.part].append(json.loads(row.record))
+    return out
 
 
 def part(models: DataFrame, name: str, schema: str) -> DataFrame:

@@ -153,6 +153,10 @@ def _django(line: str) -> Found:
             yield engine, f'Django ENGINE "{name}"'
 
 
+# Tables of TOML manifests that name dependencies.
+DEPENDENCY_TABLES = ("dependencies", "dev-packages", "packages")
+
+
 class _Toml:
     """Keys of dependency sections; the section in force is carried from line to line."""
 
@@ -160,11 +164,18 @@ class _Toml:
         self.sections, self.inside = sections, False
 
     def __call__(self, line: str) -> Found:
-        if m := re.match(r"\s*\[(.+?)\]", line):
-            self.inside = bool(re.search(self.sections, m[1].strip()))
-            yield from _named(r"^(?:.*\.)?(?:dependencies|packages|dev-packages)\.([A-Za-z0-9_.-]+)$", m[1].strip())
-        elif self.inside and not re.match(r"(?i)\s*[\"']?python[\"']?\s*=", line):
-            yield from _named(r"^\s*[\"']?([A-Za-z0-9_.-]+)[\"']?\s*=", line)
+        line = line.strip()
+        if line.startswith("["):
+            section = line.lstrip("[").partition("]")[0].strip()
+            self.inside = bool(re.search(self.sections, section))
+            # A dependency may have a section of its own: [dependencies.name].
+            table, _, name = section.rpartition(".")
+            if table.rpartition(".")[2] in DEPENDENCY_TABLES:
+                yield from _named(r"^([\w.-]+)$", name)
+        elif self.inside:
+            key = line.partition("=")[0].strip().strip("\"'") if "=" in line else ""
+            if key.lower() != "python":
+                yield from _named(r"^([\w.-]+)$", key)
 
 
 def _keys(line: str) -> Found:

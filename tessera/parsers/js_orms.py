@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from types import SimpleNamespace
 
 from tessera.functions.names import default_table, lcfirst_plain, pluralize, snake
@@ -716,31 +717,33 @@ DIALECTS = {"pgTable": "postgresql", "mysqlTable": "mysql", "sqliteTable": "sqli
 
 
 def drizzle_detect(path: str, text: str) -> bool:
-    return _is_js(path) and "drizzle-orm" in text and bool(re.search(r"\b(?:pg|mysql|sqlite|singlestore)(?:Table|View|Schema|Enum)(?:Creator)?\s*\(|\brelations\s*\(", text))
+    return _is_js(path) and "drizzle-orm" in text and bool(re.search(r"\b(?:pg|mysql|sqlite|singlestore)(?:Table|View|Schema|Enum)(?:Creator)?\s*(?:\(|as\b)|\brelations\s*(?:\(|as\b)", text))
 
 
 def drizzle(path: str, text: str) -> Parsed:
     script, out = Script(path, text), Parsed(path, "drizzle")
     schemas, enums, creators, tables = {}, {}, {}, {}
     calls = [(n, script.assigned(n.begin)) for n in script.chains()]
+    alias = script.renamed("drizzle-orm")
+    called = lambda n: alias.get(n.path, n.path)
     for node, name in calls:
         first = node.items[0] if node.items else None
-        if node.path in ("pgSchema", "mysqlSchema") and name and first is not None and first.string:
-            schemas[name] = (first.value, "postgresql" if node.path == "pgSchema" else "mysql")
-        elif node.path.rpartition(".")[2] in ("pgEnum", "enum") and name and first is not None and first.string and len(node.items) > 1 and (values := strings(node.items[1])):
+        if called(node) in ("pgSchema", "mysqlSchema") and name and first is not None and first.string:
+            schemas[name] = (first.value, "postgresql" if called(node) == "pgSchema" else "mysql")
+        elif called(node).rpartition(".")[2] in ("pgEnum", "enum") and name and first is not None and first.string and len(node.items) > 1 and (values := strings(node.items[1])):
             schema = schemas.get(node.path.rpartition(".")[0], (None,))[0]
             enums[name] = first.value
             out.enums.append(RawEnum(first.value, values, schema, source=script.source(node.begin)))
-        elif node.path.endswith("TableCreator") and name and first is not None:
+        elif called(node).endswith("TableCreator") and name and first is not None:
             prefix = first.of.value if first.kind == "fn" and first.of is not None else ""
-            creators[name] = (DIALECTS.get(node.path.replace("Creator", "")), re.sub(r"\$\{.*", "", prefix))
+            creators[name] = (DIALECTS.get(called(node).replace("Creator", "")), re.sub(r"\$\{.*", "", prefix))
     found = []
     for node, name in calls:
         if not name or not node.items or not node.items[0].string or len(node.items) < 2:
             continue
         schema, engine, table = None, None, node.items[0].value
-        if node.path in DIALECTS:
-            engine = DIALECTS[node.path]
+        if called(node) in DIALECTS:
+            engine = DIALECTS[called(node)]
         elif node.tail == "table" and node.path.rpartition(".")[0] in schemas:
             schema, engine = schemas[node.path.rpartition(".")[0]]
         elif node.path in creators:
@@ -751,8 +754,8 @@ def drizzle(path: str, text: str) -> Parsed:
         body = node.items[1].of if node.items[1].kind == "fn" else node.items[1]
         raw = RawEntity(table, "table", schema=schema, model_name=name, engine=engine, source=script.source(node.begin))
         fields = {}
-        for key, value in body.items if body is not None and body.kind == "obj" else []:
-            column = _drizzle_column(script, out, raw, key, value, enums) if key != "..." else None
+        for key, value in _spread(script, body):
+            column = _drizzle_column(script, out, raw, key, value, enums)
             if column:
                 raw.columns.append(column)
                 fields[key] = column.name
@@ -760,7 +763,7 @@ def drizzle(path: str, text: str) -> Parsed:
         found.append((raw, fields, node))
         out.entities.append(raw)
         if engine and not out.engines:
-            out.engines.append(Hint(engine, raw.source.line, f"Drizzle {node.path}"))
+            out.engines.append(Hint(engine, raw.source.line, f"Drizzle {called(node)}"))
     names = {variable: (raw, fields) for variable, (raw, fields) in tables.items()}
     for r in out.relations:  # columns of targets are known by their keys until now
         if r.to.model in names and r.to_columns:
@@ -769,11 +772,20 @@ def drizzle(path: str, text: str) -> Parsed:
         if len(node.items) > 2:
             _drizzle_extras(script, out, raw, fields, node.items[2], names)
     for node, name in calls:
-        if node.path == "relations" and len(node.items) > 1 and node.items[0].kind == "name" and node.items[1].kind == "fn" and node.items[1].of is not None:
+        if called(node) == "relations" and len(node.items) > 1 and node.items[0].kind == "name" and node.items[1].kind == "fn" and node.items[1].of is not None:
             _drizzle_relations(script, out, node.items[0].value, node.items[1].of, names)
     return out
 
 
+def _spread(script: Script, body: Node | None, depth: int = 0) -> Iterator[tuple[str, Node]]:
+    """Properties of an object, those of constants that are spread into it in their place."""
+    for key, value in body.items if body is not None and body.kind == "obj" else []:
+        if key != "...":
+            yield key, value
+        elif value.kind == "name" and depth < 8:
+            yield from _spread(script, script.object_named(value.value), depth + 1)
+
+
 def _drizzle_column(script: Script, out: Parsed, raw: RawEntity, key: str, value: Node, enums: dict) -> Column | None:
     steps = value.chain() if value.kind == "call" else []
     if not steps:
@@ -1045,11 +1057,20 @@ def _objection(script: Script, out: Parsed) -> Parsed:
 
 
 def kysely_detect(path: str, text: str) -> bool:
-    return _is_js(path) and bool(re.search(r"['\"]kysely['\"]", text)) and bool(re.search(r"\.schema\b", text) and re.search(r"\.\s*(?:createTable|alterTable|dropTable|createIndex|createType)\s*\(", text))
+    """Migrations that build a schema, and interfaces of a database whose columns may be generated."""
+    if not _is_js(path):
+        return False
+    imported = bool(re.search(r"['\"]kysely['\"]", text))
+    built = ".schema" in text and bool(re.search(r"\.\s*(?:createTable|alterTable|dropTable|createIndex|createType)\s*\(", text))
+    typed = "interface" in text and bool(re.search(r"\bGenerated\w*\s*<|\bKysely\s*<", text))
+    return imported and (built or typed)
 
 
 def kysely(path: str, text: str) -> Parsed:
-    script, out = Script(path, text), Parsed(path, "kysely", "migration")
+    script = Script(path, text)
+    if not re.search(r"\.\s*(?:createTable|alterTable|dropTable|createIndex|createType)\s*\(", text):
+        return _kysely_types(script, Parsed(path, "kysely"))
+    out = Parsed(path, "kysely", "migration")
     for node in script.chains(*_up_range(script)):
         steps = node.chain()
         at = next((i for i, s in enumerate(steps) if s[0] in ("createTable", "alterTable", "dropTable", "createIndex", "createType", "createView") and s[1]), None)
@@ -1060,6 +1081,34 @@ def kysely(path: str, text: str) -> Parsed:
     return out
 
 
+def _kysely_types(script: Script, out: Parsed) -> Parsed:
+    """Tables of the database's interface: each property names a table, its type the interface of its rows."""
+    rows = dict(script.interfaces())
+    used = re.search(r"\bKysely\s*<\s*([\w$]+)\s*>", script.text)
+    database = rows.get(used[1]) if used else None
+    database = database or next((at for name, at in rows.items() if name.lower() in ("database", "db")), None)
+    for table in script.members(*database) if database else []:
+        row = rows.get(re.sub(r"<.*|\[\]$", "", table.type).strip())
+        if row is None:
+            continue
+        path, _, name = table.name.rpartition(".")
+        columns = [_kysely_field(script, m) for m in script.members(*row)]
+        out.entities.append(RawEntity(name, "table", columns, path.rpartition(".")[2] or None, model_name=re.sub(r"<.*", "", table.type).strip(), source=script.source(table.at)))
+    return out
+
+
+def _kysely_field(script: Script, m) -> Column:
+    """A column of a row's interface; what a select gives counts, and a generated one needs no value."""
+    type_ = m.type.strip()
+    generated = re.match(r"Generated\w*\s*<(.*)>$", type_, re.S)
+    type_ = generated[1].strip() if generated else type_
+    if selected := re.match(r"ColumnType\s*<(.*)>$", type_, re.S):
+        type_ = re.split(r",(?![^<]*>)", selected[1])[0].strip()
+    options = [x.strip() for x in type_.split("|")]
+    kept = [x for x in options if x not in ("null", "undefined")]
+    return Column(m.name, kept[0] if len(kept) == 1 else "", nullable=m.optional or len(kept) < len(options), generated=True if generated else None, source=script.source(m.at))
+
+
 def _kysely_chain(script: Script, out: Parsed, act: str, args: list[Node], rest: list, schema: str | None, source) -> None:
     name = args[0].string
     if not name:

@@ -382,6 +382,35 @@ class Script:
             n.items[0].string for n in self.chains() if n.path == "require" and n.items and n.items[0].string
         ]
 
+    def renamed(self, package: str) -> dict[str, str]:
+        """What a package's exports are called here, by the names that imports give them: ``import { a as b }``."""
+        out: dict[str, str] = {}
+        for i in range(len(self.tokens)):
+            if not (self.is_(i, "import") and (opening := next((k for k in (i + 1, i + 2) if self.is_(k, "{")), None))):
+                continue
+            close = self._close[opening]
+            if self.is_(close + 1, "from") and close + 2 < len(self.tokens) and unescaped(self.tokens[close + 2].text).startswith(package):
+                for a, b in self.parts(opening):
+                    words = [t.text for t in self.tokens[a:b] if t.text != "type"]
+                    if len(words) == 3 and words[1] == "as":
+                        out[words[2]] = words[0]
+        return out
+
+    def object_named(self, name: str) -> Node | None:
+        """The object literal that a constant of this name is."""
+        for i in range(len(self.tokens) - 3):
+            if self.is_(i, "const", "let", "var") and self.tokens[i + 1].text == name and self.is_(i + 2, "=") and self.is_(i + 3, "{"):
+                return self.expr(i + 3, self._close[i + 3] + 1)
+        return None
+
+    def interfaces(self) -> Iterator[tuple[str, tuple[int, int]]]:
+        """Interfaces by name, with the tokens of their bodies."""
+        for i in range(len(self.tokens) - 2):
+            if self.is_(i, "interface") and self.tokens[i + 1].kind == "name":
+                opening = next((k for k in range(i + 2, min(i + 60, len(self.tokens))) if self.is_(k, "{")), None)
+                if opening is not None:
+                    yield self.tokens[i + 1].text, (opening + 1, self._close[opening])
+
     def classes(self) -> Iterator[Class]:
         held: list[Node] = []
         abstract, i = False, 0

@@ -33,13 +33,14 @@ def jpa(path: str, text: str) -> Parsed:
     #: Parents whose children have tables of their own; all others share theirs, as is the default.
     joined = {d.name for d in decls if (m := d.mark("Inheritance")) and script.word_of(m, "strategy") in ("JOINED", "TABLE_PER_CLASS")}
     reader = _Jpa(script, out, enums, parts)
+    spring_data = "springframework.data" in text
     for d in decls:
         entity, base, table = d.mark("Entity"), d.mark("MappedSuperclass"), d.mark("Table")
         if d.kind == "enum":
             if values := script.enum_values(d):
                 out.enums.append(RawEnum(d.name, values, source=script.source(d.at)))
             continue
-        spring = table is not None and "springframework.data" in text
+        spring = table is not None and spring_data
         if entity is None and base is None and not spring:
             continue
         named, given = _unquoted(script.text_of(table, "name", "value", place=0)), script.text_of(entity, "name", place=0)

@@ -146,12 +146,20 @@ COLUMNS = ("Column", "mapped_column")
 NOT_TYPES = re.compile(r"(?:\w+\.)*(?:ForeignKey|ForeignKeyConstraint|PrimaryKeyConstraint|UniqueConstraint|CheckConstraint|Index|Computed|Identity|Sequence|FetchedValue)\b")
 
 
+def _imports(text: str, *packages: str) -> bool:
+    """Whether a line imports one of the packages or something of theirs."""
+    return bool(re.search(rf"(?m)^[ \t]*(?:from|import)[ \t]+(?:{'|'.join(packages)})(?![\w-])", text))
+
+
+def _calls(text: str, *names: str) -> bool:
+    return bool(re.search(rf"(?<![\w.])(?:\w+\.)?(?:{'|'.join(names)})[ \t]*\(", text))
+
+
 def sqlalchemy_detect(path: str, text: str) -> bool:
+    """The library, its Flask extension or its migrations are imported, or a class with a table name makes columns."""
     if not path.endswith(".py"):
         return False
-    if re.search(r"(?:from|import)\s+(?:sqlalchemy|flask_sqlalchemy|alembic)", text):
-        return True
-    return bool(re.search(r"\b__tablename__\s*=", text) and re.search(r"\b(?:Column|mapped_column|reference_col)\s*\(", text))
+    return _imports(text, "sqlalchemy", "flask_sqlalchemy", "alembic") or ("__tablename__" in text and _calls(text, "Column", "mapped_column", "reference_col"))
 
 
 def _fk_target(text: str) -> tuple[Ref, str | None]:
@@ -594,11 +602,11 @@ def _active(path: str, text: str, o: SimpleNamespace) -> Parsed:
 
 
 def peewee_detect(path: str, text: str) -> bool:
-    return path.endswith(".py") and bool(re.search(r"(?:from|import)\s+peewee\b", text) and re.search(r"[A-Za-z_]\w*Field\s*\(", text))
+    return path.endswith(".py") and _imports(text, "peewee") and _calls(text, r"\w*Field")
 
 
 def tortoise_detect(path: str, text: str) -> bool:
-    return path.endswith(".py") and bool(re.search(r"\btortoise\b", text) and re.search(r"fields\.\w+\s*\(|from\s+tortoise(?:\.models)?\s+import", text))
+    return path.endswith(".py") and "tortoise" in text and (_imports(text, "tortoise") or "fields." in text and _calls(text, r"\w*Field"))
 
 
 def peewee(path: str, text: str) -> Parsed:

@@ -1,8 +1,8 @@
 """Schemas and migrations of Ecto."""
 
 import pytest
+from building import build
 
-from tessera.operators.resolve import resolve
 from tessera.parsers import ecto, parse_file
 
 SCHEMA = '''
@@ -99,7 +99,7 @@ def test_migration():
     assert (r.from_columns, r.to.name, r.on_delete, r.optional) == (["user_id"], "users", "CASCADE", False)
     assert [(o.op, o.column or o.table.name, o.to) for o in p.ops] == [("alterColumn", "views", None), ("dropColumn", "gone", None), ("renameColumn", "slug", "permalink"), ("renameTable", "a", "b"), ("dropTable", "legacy", None)]
     assert p.ops[0].set == {"type": "bigint", "nullable": False}
-    schema = resolve([p])
+    schema = build([p])
     assert ("posts", "auth.users") in {(r["from"], r["to"]) for r in schema["relations"]} or ("posts", "users") in {(r["from"], r["to"]) for r in schema["relations"]}
 
 

@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from building import build
+
 from tessera.functions import text as tx
 from tessera.operators import geometry as g
-from tessera.operators import model_views, scan
+from tessera.operators import linking, model_views, scan
 from tessera.parsers import js_orms, sql
 
 RECT = "struct<x:double,y:double,width:double,height:double>"
@@ -47,12 +49,12 @@ def test_provenance(spark):
         sql.parse("schema.sql", "CREATE TABLE users (id int PRIMARY KEY);\nCREATE TABLE posts (id int PRIMARY KEY, user_id int, org_id int REFERENCES orgs(id));\n"),
         js_orms.typeorm("user.ts", "import { Entity } from 'typeorm';\n@Entity()\nexport class Account { @PrimaryGeneratedColumn() id: number; }"),
     ]
-    built = scan.build_model(parsed)
+    built = build(parsed)
     of = {e["id"]: e["provenance"] for e in built["entities"]} | {r["id"]: r["provenance"] for r in built["relations"]}
     say = lambda k: (of[k]["derivation"], of[k]["confidence"])
     assert say("users") == ("declared", "high") and say("orgs") == ("external", "low") and say("account") == ("guessed", "medium") and '"Account"' in of["account"]["notes"][0]
     assert say("posts(user_id)>users") == ("inferred", "low") and "not defined in the workspace" in " ".join(of["posts(org_id)>orgs"]["notes"])
-    schema = f"p {scan.PROVENANCE}"
+    schema = f"p {linking.PROVENANCE}"
     rows = spark.createDataFrame([(("inferred", "low", None, [], []),), (("declared", "high", True, [("f.sql", n) for n in range(7)], ["n1"]),), (None,)], schema)
     out = rows.select(model_views.uncertain(F.col("p")).alias("u"), model_views.provenance_lines(F.col("p")).alias("l")).collect()
     assert [r.u for r in out] == [True, False, False] and out[0].l == ["Inferred from naming · low confidence"]

@@ -1,8 +1,8 @@
 """JPA entities and Exposed tables."""
 
 import pytest
+from building import build
 
-from tessera.operators.resolve import resolve
 from tessera.parsers import jvm_orms, parse_file
 
 JAVA = """
@@ -129,7 +129,7 @@ def test_java():
 def test_inheritance():
     shared = jvm_orms.jpa("P.java", '@Entity @Table(name="payments") @Inheritance(strategy = InheritanceType.SINGLE_TABLE) class Payment { @Id Long id; }')
     child = jvm_orms.jpa("C.java", '@Entity @DiscriminatorValue("C") class Card extends Payment { String last4; }')
-    assert {e["id"] for e in resolve([shared, child])["entities"]} == {"payments"}
+    assert {e["id"] for e in build([shared, child])["entities"]} == {"payments"}
     joined = jvm_orms.jpa("V.java", "@Entity @Inheritance(strategy = InheritanceType.JOINED) class Vehicle { @Id Long id; }\n@Entity class Car extends Vehicle { String doors; }")
     assert not joined.entities[1].shared_table and joined.entities[1].extends == ["Vehicle"]
     assert jvm_orms.jpa("A.java", '@Entity(name = "Account") class AccountEntity { @Id Long id; }').entities[0].name == "account"
@@ -158,7 +158,7 @@ def test_exposed():
         ("UsersTable", "UsersTable", ["boss_id"], None, True),
         ("Films", "Cities", ["sequel_id"], None, False),
     ]
-    assert {("users", "cities"), ("users", "users"), ("films", "cities")} == {(r["from"], r["to"]) for r in resolve([p])["relations"]}
+    assert {("users", "cities"), ("users", "users"), ("films", "cities")} == {(r["from"], r["to"]) for r in build([p])["relations"]}
 
 
 def test_comments_hide_entities():

@@ -1,8 +1,8 @@
 """Prisma and DBML schemas, engine detection, and reading without errors."""
 
 import pytest
+from building import build
 
-from tessera.operators.resolve import resolve
 from tessera.parsers import dbml, engines, parse_file, prisma
 
 PRISMA = '''
@@ -84,7 +84,7 @@ def test_prisma():
     assert user.columns[0].generated and user.columns[1].type == "VarChar(255)" and user.columns[2].enum_ref == "Role" and user.columns[3].default == "now()"
     post = next(e for e in p.entities if e.model_name == "Post")
     assert [c.name for c in post.columns] == ["id", "title", "tags", "authorId"] and post.columns[2].is_array and post.indexes[0].columns == ["title", "authorId"]
-    r = resolve([p])
+    r = build([p])
     assert [(x["from"], x["to"], x["cardinality"]) for x in r["relations"]] == [("category", "post", "many-to-many"), ("post", "users", "many-to-one"), ("profile", "users", "one-to-one")]
     assert r["relations"][0]["through_name"] == "_CategoryToPost" and r["relations"][2]["on_delete"] == "Cascade"
 
@@ -96,7 +96,7 @@ def test_dbml():
     assert users.comment == "People" and posts.comment == "Articles" and posts.schema == "blog"
     assert users.columns[0].generated and users.columns[0].primary_key and users.columns[1].unique and users.columns[1].comment == "login"
     assert [(i.columns, i.unique, i.name) for i in users.indexes] == [(["email", "state"], True, "by_email"), (["state"], False, None)]
-    r = resolve([p])
+    r = build([p])
     links = {(x["from"], tuple(x["from_columns"]), x["to"], x["cardinality"]) for x in r["relations"]}
     assert ("blog.posts", ("user_id",), "users", "many-to-one") in links and ("users", ("id",), "blog.posts", "many-to-many") in links
     assert next(x for x in r["relations"] if x.get("name") == "owner")["on_delete"] == "CASCADE"

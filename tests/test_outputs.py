@@ -2,8 +2,9 @@
 
 import json
 
+from building import build
+
 from tessera.operators import export, introspect, model_diff, scan
-from tessera.operators.resolve import resolve
 from tessera.parsers import dbml, sql
 
 BASE = "CREATE TABLE users (id int PRIMARY KEY, email text, old int);\nCREATE TABLE posts (id int PRIMARY KEY, user_id int REFERENCES users (id));\nCREATE TABLE gone (id int);\nCREATE TYPE mood AS ENUM ('a', 'b');"
@@ -33,7 +34,7 @@ def test_diff(spark):
 
 
 def model(text):
-    return scan.build_model([sql.parse("db/schema.sql", text)])
+    return build([sql.parse("db/schema.sql", text)])
 
 
 def test_mermaid():
@@ -47,7 +48,7 @@ def test_mermaid():
 
 def test_dbml_round_trip():
     built = model(BASE + "\nCREATE UNIQUE INDEX by_email ON users (email);")
-    back = resolve([dbml.parse("x.dbml", export.to_dbml(built))])
+    back = build([dbml.parse("x.dbml", export.to_dbml(built))])
     assert [e["id"] for e in back["entities"]] == [e["id"] for e in built["entities"]]
     assert [(r["from"], r["from_columns"], r["to"]) for r in back["relations"]] == [(r["from"], r["from_columns"], r["to"]) for r in built["relations"]]
     assert back["enums"][0]["values"] == ["a", "b"]

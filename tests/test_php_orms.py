@@ -1,8 +1,8 @@
 """Laravel migrations and models, and Doctrine entities."""
 
 import pytest
+from building import build
 
-from tessera.operators.resolve import resolve
 from tessera.parsers import parse_file, php_orms
 
 MIGRATION = r"""<?php
@@ -161,7 +161,7 @@ def test_eloquent():
         ("Note", "Tag", [], [], "many-to-many", "note_tag"),
         ("Cover", "Note", ["of_id"], [], "one-to-one", None),
     ]
-    schema = resolve([php_orms.laravel("m.php", MIGRATION), p])
+    schema = build([php_orms.laravel("m.php", MIGRATION), p])
     assert ("notes", "members") in {(r["from"], r["to"]) for r in schema["relations"]}
 
 
@@ -176,7 +176,7 @@ def test_attributes():
     one, many = p.relations
     assert (one.to.model, one.from_columns, one.to_columns, one.on_delete, one.optional) == ("Org", ["org_ref"], ["id"], "CASCADE", False)
     assert (many.to.model, many.through.name, many.cardinality) == ("Role", "account_roles", "many-to-many")
-    assert [c["name"] for e in resolve([p])["entities"] if e["id"] == "auth.accounts" for c in e["columns"]] == ["created_at", "id", "email", "full_name", "org_ref"]
+    assert [c["name"] for e in build([p])["entities"] if e["id"] == "auth.accounts" for c in e["columns"]] == ["created_at", "id", "email", "full_name", "org_ref"]
 
 
 def test_annotations():

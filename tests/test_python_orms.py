@@ -1,8 +1,8 @@
 """Models of Python ORMs."""
 
 import pytest
+from building import build
 
-from tessera.operators.resolve import resolve
 from tessera.parsers import parse_file, python_orms
 
 DJANGO = '''
@@ -63,7 +63,7 @@ def test_django():
     assert (links["user_id"].to.name, links["user_id"].cardinality) == ("auth_user", "one-to-one")
     assert links["editor_id"].on_delete == "SET NULL" and links["editor_id"].optional
     assert p.enums[0].values == ["draft", "published"]
-    r = resolve([p])
+    r = build([p])
     post = next(e for e in r["entities"] if e["id"] == "blog_post")
     assert [c["name"] for c in post["columns"]] == ["created_at", "id", "title", "author_id", "editor_id", "status"]
     assert next(c for c in post["columns"] if c["name"] == "status")["enum_ref"] == "status"
@@ -131,7 +131,7 @@ def test_sqlalchemy():
     assert through.through.name == "user_groups" and through.to.model == "Group"
     group = next(r for r in p.relations if r.from_columns == ["group_id"])
     assert (group.to.name, group.to.schema, group.on_delete) == ("groups", "auth", "CASCADE")
-    assert "teams" in {x["to"] for x in resolve([p])["relations"]}
+    assert "teams" in {x["to"] for x in build([p])["relations"]}
 
 
 def test_alembic():

@@ -1,8 +1,8 @@
 """Schema files, migrations and models of Active Record."""
 
 import pytest
+from building import build
 
-from tessera.operators.resolve import resolve
 from tessera.parsers import parse_file, rails
 
 SCHEMA = '''# generated
@@ -120,7 +120,7 @@ def test_models():
 
 
 def test_a_schema_and_its_models_are_one_map():
-    schema = resolve([rails.parse("db/schema.rb", SCHEMA), rails.parse("app/models/user.rb", "class User < ApplicationRecord\n  has_many :orders\nend\n")])
+    schema = build([rails.parse("db/schema.rb", SCHEMA), rails.parse("app/models/user.rb", "class User < ApplicationRecord\n  has_many :orders\nend\n")])
     assert {e["id"] for e in schema["entities"]} == {"users", "orders"}
     assert [(r["from"], r["to"]) for r in schema["relations"]] == [("orders", "users")]
 

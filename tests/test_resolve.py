@@ -1,7 +1,8 @@
 """The resolver's semantics on small fixtures."""
 
+from building import build
+
 from tessera.model import Column, Index, Op, Parsed, RawEntity, RawEnum, RawRelation, Ref, Source
-from tessera.operators.resolve import resolve
 from tessera.operators.resolve.history import migration_key, migration_order
 
 
@@ -46,7 +47,7 @@ def test_foreign_keys_default_to_the_key_and_mark_columns():
     f = "schema.sql"
     users = table(f, "users", [pk(), col("email", nullable=False)])
     posts = table(f, "posts", [pk(), col("author_id", "int", nullable=False), col("editor_id", "int")], 5)
-    r = resolve([Parsed(f, "sql", entities=[users, posts], relations=[rel(f, "posts", ["author_id"], "users", ["id"], 7), rel(f, "posts", ["editor_id"], "users", (), 8)])])
+    r = build([Parsed(f, "sql", entities=[users, posts], relations=[rel(f, "posts", ["author_id"], "users", ["id"], 7), rel(f, "posts", ["editor_id"], "users", (), 8)])])
     assert ids(r) == ["posts", "users"]
     author, editor = r["relations"]
     assert (author["optional"], editor["optional"], editor["to_columns"]) == (False, True, ["id"])
@@ -56,7 +57,7 @@ def test_foreign_keys_default_to_the_key_and_mark_columns():
 
 def test_collections_and_schemas_are_namespaces():
     f = "db.sql"
-    r = resolve(
+    r = build(
         [
             Parsed(
                 f,
@@ -81,7 +82,7 @@ def test_collections_and_schemas_are_namespaces():
 
 
 def test_first_definition_wins_and_gaps_are_filled():
-    r = resolve(
+    r = build(
         [
             Parsed("b/model.py", "sqlalchemy", entities=[table("b/model.py", "users", [pk(), col("email", "String", comment="login"), col("bio")], model_name="User")]),
             Parsed("a/schema.sql", "sql", entities=[table("a/schema.sql", "users", [pk("id", "serial"), col("email", "")])]),
@@ -95,7 +96,7 @@ def test_first_definition_wins_and_gaps_are_filled():
 
 
 def test_changes_in_definitions_are_local_and_late_alters_run_again():
-    r = resolve(
+    r = build(
         [
             Parsed("db/schema.sql", "sql", entities=[table("db/schema.sql", "users", [col("id", "int")], 1)], ops=[Op("dropTable", Ref("users"), source=Source("db/schema.sql", 0))]),
             Parsed("db/reset.sql", "sql", ops=[Op("dropTable", Ref("users"), source=Source("db/reset.sql"))]),
@@ -120,7 +121,7 @@ def test_migrations_replay_in_order():
         relations=[rel(f1, "posts", ["user_id"], "users", ["id"], 4)],
     )
     m2 = Parsed(f2, "sql", "migration", entities=[table(f2, "users", [col("email")], partial=True)], ops=ops)
-    r = resolve([m2, m1])
+    r = build([m2, m1])
     assert ids(r) == ["members", "posts"]
     assert names(r["entities"][0]) == ["id", "full_name", "email"] and names(r["entities"][1]) == ["id", "user_id"]
     assert arrows(r) == ["posts.user_id>members"]
@@ -128,7 +129,7 @@ def test_migrations_replay_in_order():
 
 def test_redefined_table_keeps_incoming_links():
     f1, f2 = "m/1/migration.sql", "m/2/migration.sql"
-    r = resolve(
+    r = build(
         [
             Parsed(f1, "sql", "migration",
                 entities=[table(f1, "users", [pk()]), table(f1, "posts", [pk(), col("author_id", "int")], 2), table(f1, "comments", [pk(), col("post_id", "int")], 4)],
@@ -145,7 +146,7 @@ def test_redefined_table_keeps_incoming_links():
 def test_foreign_keys_are_dropped_four_ways():
     f1, f2 = "m/001.sql", "m/002.sql"
     drop = lambda **k: Op("dropForeignKey", source=Source(f2), **k)
-    r = resolve(
+    r = build(
         [
             Parsed(f1, "sql", "migration",
                 entities=[table(f1, "users", [pk()]), table(f1, "posts", [pk(), col("author_id"), col("editor_id")]), table(f1, "comments", [pk(), col("post_id"), col("user_id")])],
@@ -173,7 +174,7 @@ def test_order_of_migrations():
 
 def test_definitions_come_before_history():
     p, m = "prisma/schema.prisma", "prisma/migrations/1_init/migration.sql"
-    r = resolve(
+    r = build(
         [
             Parsed(m, "sql", "migration", entities=[table(m, "User", [pk("id", "SERIAL"), col("email", "TEXT"), col("old_col")])]),
             Parsed(p, "prisma", entities=[table(p, "User", [pk("id", "Int"), col("email", "", nullable=False)], 10, model_name="User")]),
@@ -186,7 +187,7 @@ def test_definitions_come_before_history():
 
 def test_models_without_columns_use_history_and_both_sides_meet():
     mig, u, p = "db/migrate/20240101_create.rb", "app/models/user.rb", "app/models/post.rb"
-    r = resolve(
+    r = build(
         [
             Parsed(mig, "rails", "migration", entities=[table(mig, "users", [pk(), col("name")]), table(mig, "posts", [pk(), col("user_id", "bigint", nullable=False), col("title")])]),
             Parsed(u, "rails", entities=[table(u, "users", model_name="User", name_certainty=0)], relations=[orm(u, "User", [], "Post", ["user_id"], 2, cardinality="one-to-many")]),
@@ -200,7 +201,7 @@ def test_models_without_columns_use_history_and_both_sides_meet():
 def test_candidates_bases_and_certainty():
     c = "Data/AppDbContext.cs"
     maybe = lambda f, n, cols, **k: table(f, n, cols, model_name=n, name_certainty=0, candidate=True, **k)
-    r = resolve(
+    r = build(
         [
             Parsed("Models/Blog.cs", "efcore", entities=[maybe("Models/Blog.cs", "Blog", [pk("Id"), col("Url")], extends=["BaseEntity"])], relations=[orm("Models/Blog.cs", "Blog", [], "Post", (), 3, cardinality="one-to-many")]),
             Parsed("Models/Post.cs", "efcore", entities=[maybe("Models/Post.cs", "Post", [pk("Id"), col("BlogId", "int"), col("Title")])], relations=[orm("Models/Post.cs", "Post", ["BlogId"], "Blog", (), 4)]),
@@ -215,7 +216,7 @@ def test_candidates_bases_and_certainty():
 
 def test_abstract_bases_fan_out_and_unknown_targets_are_external():
     f = "blog/models.py"
-    r = resolve(
+    r = build(
         [
             Parsed(f, "django",
                 entities=[
@@ -233,7 +234,7 @@ def test_abstract_bases_fan_out_and_unknown_targets_are_external():
 
 def test_single_table_inheritance():
     f = "db/migrate/1_init.rb"
-    r = resolve(
+    r = build(
         [
             Parsed(f, "rails", "migration", entities=[table(f, "users", [pk(), col("team_id")]), table(f, "teams", [pk()])]),
             Parsed("u.rb", "rails", entities=[table("u.rb", "users", model_name="User", name_certainty=0)]),
@@ -247,7 +248,7 @@ def test_single_table_inheritance():
 
 def test_guessed_names_adopt_sure_tables():
     mig = "Migrations/20240101_Init.cs"
-    r = resolve(
+    r = build(
         [
             Parsed(mig, "efcore", "migration", entities=[table(mig, "Posts", [pk("Id"), col("Title"), col("BlogId", "int"), col("Legacy")])]),
             Parsed("Models/Post.cs", "efcore", entities=[table("Models/Post.cs", "Post", [pk("Id"), col("Title"), col("BlogId", "int"), col("Summary")], 3, model_name="Post", name_certainty=0)],
@@ -263,7 +264,7 @@ def test_guessed_names_adopt_sure_tables():
 
 def test_dead_associations_and_ghosts_warn():
     schema, a = "db/schema.rb", "app/models/article.rb"
-    r = resolve(
+    r = build(
         [
             Parsed(schema, "rails", entities=[table(schema, "articles", [pk(), col("user_id")]), table(schema, "users", [pk()])]),
             Parsed(a, "rails", entities=[table(a, "articles", model_name="Article", name_certainty=0)],
@@ -280,7 +281,7 @@ def test_dead_associations_and_ghosts_warn():
 
 def test_one_to_one_and_inference():
     f = "s.sql"
-    r = resolve(
+    r = build(
         [
             Parsed(f, "sql",
                 entities=[table(f, "users", [pk()]), table(f, "profiles", [pk("user_id")]), table(f, "wallets", [pk(), col("owner_id", unique=True, nullable=False)]),
@@ -295,7 +296,7 @@ def test_one_to_one_and_inference():
 def test_junction_tables():
     f = "s.sql"
     key = lambda n: Column(n, "int", nullable=False, primary_key=True)
-    r = resolve(
+    r = build(
         [
             Parsed(f, "sql",
                 entities=[table(f, "posts", [pk()]), table(f, "tags", [pk()]), table(f, "post_tags", [key("post_id"), key("tag_id"), col("created_at")]),
@@ -311,7 +312,7 @@ def test_junction_tables():
 def test_declared_many_to_many_meets_its_table():
     p, m = "schema.prisma", "migrations/1/migration.sql"
     both = [(a, b) for a, b in (("Post", "Category"), ("Category", "Post"))]
-    r = resolve(
+    r = build(
         [
             Parsed(p, "prisma", entities=[table(p, n, [pk()], model_name=n) for n in ("Post", "Category")], relations=[orm(p, a, [], b, cardinality="many-to-many", through=Ref("_CategoryToPost")) for a, b in both]),
             Parsed(m, "sql", "migration", entities=[table(m, "_CategoryToPost", [col("A", nullable=False), col("B", nullable=False)])],
@@ -324,7 +325,7 @@ def test_declared_many_to_many_meets_its_table():
 
 def test_enums_replay_and_link():
     p, f1, f2 = "schema.prisma", "migrations/001.sql", "migrations/002.sql"
-    r = resolve(
+    r = build(
         [
             Parsed(p, "prisma", entities=[table(p, "User", [pk(), col("role", "Role")], model_name="User")], enums=[RawEnum("Role", ["USER", "ADMIN"], source=Source(p, 9))]),
             Parsed(f1, "sql", "migration", entities=[table(f1, "people", [pk(), col("moods", '"mood"[]', is_array=True)], 3)],
@@ -339,7 +340,7 @@ def test_enums_replay_and_link():
 
 def test_partial_noise_is_dropped_and_placeholders_are_absorbed():
     f, d = "db/extra.sql", "Domain/F.cs"
-    r = resolve(
+    r = build(
         [
             Parsed(f, "sql", entities=[table(f, "users", [pk()]), table(f, "ghost", [], 3, partial=True, indexes=[Index(["x"])]), table(f, "audit_log", [col("x")], 5, partial=True)]),
             Parsed(d, "efcore", entities=[table(d, "Follows", [pk("ObserverId")], model_name="Follow"), table(d, "Persons", [pk("PersonId")], model_name="Person")], relations=[orm(d, "Follow", ["ObserverId"], "Person")]),
