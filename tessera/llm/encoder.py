@@ -26,7 +26,7 @@ ODD = "\x01|  | \n|\n\n[\n ]| \\z|\n\n\\z"
 #: Stands before a part that has no blank before it.
 BARE = "\x01"
 #: Parts that a worker keeps; beyond it the cache starts anew.
-CACHE_PARTS = 200_000
+CACHE_PARTS = 300_000
 #: Bytes of text that are best encoded at once: the more, the fewer parts are distinct.
 ENCODE_BYTES = 4 << 20
 #: Longer parts are forgotten after their batch.
@@ -119,7 +119,7 @@ class Encoder:
             marked = pc.binary_join_element_wise(BARE, pc.replace_substring(texts.take(pa.array(plain)), "\n", " \n " + BARE), "")
             lists = pc.split_pattern(marked, " ")
             coded = lists.flatten().dictionary_encode()
-            parts = coded.dictionary.to_pylist()
+            parts = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
             ids = list(map(self.cache.get, parts))
             if gaps := [i for i, x in enumerate(ids) if x is None]:
                 if len(self.cache) > CACHE_PARTS:
