@@ -1,8 +1,7 @@
 """Token ids of a corpus in binary segments with Elias-Fano document boundaries.
 
-Documents are encoded where they lie; their ids, two bytes each where the
-vocabulary allows it, are dealt out by ranges of the document id, sorted and laid
-end to end.  A segment holds some millions of ids of consecutive documents:
+Documents are dealt out by ranges of their id, sorted, encoded and laid end to
+end; a segment holds some millions of ids of consecutive documents:
 
     magic, version, bytes an id, documents, ids, null ids, least id
     Elias-Fano: document ids less the least one
@@ -105,20 +104,10 @@ def write_segments(
     kind = "<u2" if width == 2 else "<u4"
     end = np.array([end_id], kind).tobytes()
 
-    def make():
-        encoder = Encoder.of(tokenizer)
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [np.frombuffer(raw, "<u4").astype(kind).tobytes() + end for raw in encoder.encode(batch.column(1))]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.binary())], names=["doc_id", "tie", "ids"])
-
-        return step
-
-    # Written, so that neither the sample of the ranges nor a lost executor encodes anything again.
-    coded = common.written(common.map_batches(rows, make, "doc_id long, tie long, ids binary", ENCODE_BYTES), "encoded")
-    coded = coded.repartitionByRange(common.partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids").select("doc_id", "ids")
+    rows = rows.repartitionByRange(common.partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder.of(tokenizer)
         part, segment = TaskContext.get().partitionId(), 0
         held: list[tuple[int | None, bytes]] = []
         size = 0
@@ -127,17 +116,17 @@ def write_segments(
             data = build_segment([d for d, _ in held], [raw for _, raw in held], width)
             return pa.RecordBatch.from_pydict({"part": [part], "segment": [segment], "n_docs": [len(held)], "n_ids": [size], "data": [data]})
 
-        for batch in batches:
-            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.append((doc_id, raw))
-                size += len(raw) // width
+        for batch in common.gathered(batches, ENCODE_BYTES):
+            for doc_id, raw in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
+                held.append((doc_id, np.frombuffer(raw, "<u4").astype(kind).tobytes() + end))
+                size += len(raw) // 4 + 1
                 if size >= segment_ids:
                     yield close()
                     held, size, segment = [], 0, segment + 1
         if held:
             yield close()
 
-    coded.mapInArrow(run, SEGMENTS).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(run, SEGMENTS).write.option("compression", "zstd").parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
