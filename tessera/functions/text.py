@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.inflect import inflect_column
+
 #: Fixed value: the pattern of one word inside an identifier.
 WORD = r"[A-Z]+\d*(?![a-z])|[A-Z]?[a-z]+\d*|\d+"
 
@@ -131,3 +133,16 @@ def unquoted(name: Column) -> Column:
     """A name without its quotes; doubled ones inside are one."""
     inside = F.substr(name, F.lit(2), F.char_length(name) - 2)
     return F.when(name.rlike('^".*"$'), F.replace(inside, F.lit('""'), F.lit('"'))).when(name.rlike("^`.*`$"), F.replace(inside, F.lit("``"), F.lit("`"))).when(name.rlike(r"^\[.*\]$"), inside).otherwise(name)
+
+
+# How technologies name the table of a model that names none.
+PLURAL_SNAKE, SNAKE, LOWER = ("rails", "laravel", "gorm", "ent", "bun"), ("typeorm", "mikroorm", "jpa", "doctrine"), ("sqlmodel", "peewee", "tortoise")
+
+
+def default_table(kind: Column, model: Column, app: Column | None = None) -> Column:
+    """The table of a model by the convention of its technology; ``app`` comes before Django's."""
+    name = short_name(model)
+    django = F.lower(name) if app is None else F.when(F.coalesce(app, F.lit("")) == "", F.lower(name)).otherwise(F.concat(F.lower(app), F.lit("_"), F.lower(name)))
+    out = F.when(kind.isin(*PLURAL_SNAKE), inflect_column(snake_case(name), True)).when(kind.isin(*SNAKE), snake_case(name)).when(kind.isin(*LOWER), F.lower(name))
+    out = out.when(kind == "mongoose", inflect_column(F.lower(name), True, documents=True)).when(kind == "sequelize", inflect_column(name, True)).when(kind == "django", django)
+    return out.otherwise(name)

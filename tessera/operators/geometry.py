@@ -96,3 +96,17 @@ def bounds(rects: DataFrame, *keys: str) -> DataFrame:
     r = F.col("rect")
     spans = rects.groupBy(*keys).agg(F.min(r["x"]).alias("x"), F.min(r["y"]).alias("y"), F.max(r["x"] + r["width"]).alias("right"), F.max(r["y"] + r["height"]).alias("bottom"))
     return spans.where("x IS NOT NULL").select(*keys, "x", "y", (F.col("right") - F.col("x")).alias("width"), (F.col("bottom") - F.col("y")).alias("height"))
+
+
+def overlapping(spans: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Pairs (a, b) of ids whose spans (id, low, high) of one key overlap, the smaller id first.
+
+    Spans meet by equality in the strips of ``width`` that they touch; a pair counts
+    in the strip where the later of both begins, so none comes twice.
+    """
+    last = F.greatest(F.floor((F.col("high") - 1) / width), F.floor(F.col("low") / width))
+    strips = spans.withColumn("strip", F.explode(F.sequence(F.floor(F.col("low") / width), last)))
+    a, b = (strips.select(*keys, "strip", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "low", "high")]) for side in ("a", "b"))
+    meets = (F.col("id_a") < F.col("id_b")) & (F.col("low_a") < F.col("high_b")) & (F.col("low_b") < F.col("high_a"))
+    begins = F.floor(F.greatest("low_a", "low_b") / width) == F.col("strip")
+    return a.join(b, [*keys, "strip"]).where(meets & begins).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,9 +51,11 @@ def scalar_fill(df: DataFrame, column: str, only: DataFrame) -> DataFrame:
 
 
 def prefer(df: DataFrame, keys: list[str], wanted: Column) -> DataFrame:
-    """Rows without ``wanted`` go where their group has one with it."""
-    some = F.max(wanted.cast("int")).over(Window.partitionBy(*keys))
-    return df.withColumn("__some", some).where((F.col("__some") == 0) | wanted).drop("__some")
+    """Rows without ``wanted`` go where their group has one with it; groups are counted before they are joined, so a large one is split."""
+    some = df.where(wanted).select(*keys).distinct().withColumn("__some", F.lit(True))
+    same = [df[k].eqNullSafe(some[k]) for k in keys]
+    joined = df.join(some, reduce(Column.__and__, same), "left").select(*[df[c] for c in df.columns], "__some")
+    return joined.where(F.col("__some").isNull() | wanted).drop("__some")
 
 
 def dedupe_symmetric(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -14,45 +14,51 @@ from dataclasses import dataclass
 
 from tessera.model import Source
 
-MOST_TRIES = 400
-
-
-def _try(text: str) -> ast.Module | None:
+def _try(text: str) -> tuple[ast.Module | None, int]:
+    """The tree, or the line at which it breaks off (0 if that isn't known)."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            return ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return None
+            return ast.parse(text), 0
+    except SyntaxError as error:
+        return None, error.lineno or 0
+    except (ValueError, RecursionError, MemoryError):
+        return None, 0
+
+
+def _leading(lines: list[str]) -> ast.Module | None:
+    """The tree of the leading lines that parse: those before each error in turn, or fewer and fewer where it lies at the end."""
+    size, step = len(lines), 1
+    while size > 0:
+        found, line = _try("\n".join(lines[:size]))
+        if found:
+            return found
+        if 1 < line <= size:
+            size = line - 1
+        else:
+            size, step = size - step, 2 * step
+    return None
 
 
 def tree(text: str) -> list[ast.stmt]:
     """Top-level statements with the lines of the file."""
     text = text.replace("\r\n", "\n").replace("\r", "\n").replace("\0", " ").removeprefix("﻿").expandtabs(8)
-    if whole := _try(text):
+    if whole := _try(text)[0]:
         return whole.body
     lines = text.split("\n")
     starts = [i for i, line in enumerate(lines) if line[:1].strip() and line[0] not in ")]}#'\""]
     starts = [i for i in starts if not (lines[i].startswith(("else", "elif", "except", "finally")))]
     out: list[ast.stmt] = []
-    tries = 0
     joined: list[int] = []
     for i, start in enumerate(starts):
         joined.append(start)
         end = starts[i + 1] if i + 1 < len(starts) else len(lines)
         if lines[start].startswith("@"):
             continue
-        block = lines[joined[0] : end]
-        for size in range(len(block), 0, -1):
-            tries += 1
-            found = _try("\n".join(block[:size]))
-            if found:
-                for node in found.body:
-                    ast.increment_lineno(node, joined[0])
-                out += found.body
-                break
-            if tries > MOST_TRIES:
-                break
+        if found := _leading(lines[joined[0] : end]):
+            for node in found.body:
+                ast.increment_lineno(node, joined[0])
+            out += found.body
         joined = []
     return out
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import changes, models, outputs, readers, registry, schemas, shapes, strings  # noqa: F401 - they register their queries
+from tessera.plans import changes, models, names, outputs, readers, registry, schemas, shapes, strings  # noqa: F401 - they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import loose
 from tessera.operators import diff, lookup, merge, replay
 from tessera.plans.registry import Tables, query
+from tessera.sources import files
 
 _STATES = """
 base AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 10 <> 0),
@@ -129,29 +130,28 @@ FROM documents WINDOW w AS (PARTITION BY source ORDER BY n_chars DESC, doc_id RO
 """)
 def adopt_best(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", "n_chars", "source")
-    best = merge.best_per_group(docs.withColumnRenamed("doc_id", "best_doc").withColumnRenamed("n_chars", "best_chars"), ["source"], F.struct("best_chars", -F.col("best_doc")))
-    return docs.select("doc_id", "source").join(best, "source").select("doc_id", "best_doc", "best_chars")
+    return merge.adopt_best(docs, ["source"], [F.desc("n_chars"), F.col("doc_id")], {"doc_id": "best_doc", "n_chars": "best_chars"}).select("doc_id", "best_doc", "best_chars")
 
 
-_REFS = ["NATION_0", "nation_1", "Nation-2", "NATION 3", "NATION_1x", "missing", "nation7", "NATION_2"]
-
-
-@query(f"""
-WITH refs AS (SELECT unnest({_REFS}) AS ref), t AS (SELECT n_nationkey, n_name FROM nation), hits AS (
-    SELECT ref, 0 AS rank, n_nationkey, n_name FROM refs JOIN t ON ref = n_name
-    UNION ALL SELECT ref, 1, n_nationkey, n_name FROM refs JOIN t ON lower(regexp_replace(ref, '[\\s_-]', '', 'g')) = lower(regexp_replace(n_name, '[\\s_-]', '', 'g'))
-    UNION ALL SELECT ref, 2, n_nationkey, n_name FROM refs JOIN t ON lower(substring(ref, 1, 8)) = lower(substring(n_name, 1, 8))
-), best AS (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY rank, n_nationkey) AS rn FROM hits)
-SELECT r.ref, CAST(b.rank AS INTEGER) AS rank, b.n_nationkey FROM refs r LEFT JOIN best b ON r.ref = b.ref AND b.rn = 1
+@query("""
+WITH refs AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN n_name WHEN 1 THEN lower(replace(n_name, '_', '-')) WHEN 2 THEN n_name || 'x' ELSE 'none' END AS ref FROM customer JOIN nation ON c_nationkey = n_nationkey),
+hits AS (
+    SELECT c_custkey, 0 AS rank, n_nationkey FROM refs JOIN nation ON ref = n_name
+    UNION ALL SELECT c_custkey, 1, n_nationkey FROM refs JOIN nation ON lower(regexp_replace(ref, '[\\s_-]', '', 'g')) = lower(regexp_replace(n_name, '[\\s_-]', '', 'g'))
+    UNION ALL SELECT c_custkey, 2, n_nationkey FROM refs JOIN nation ON lower(substring(ref, 1, 8)) = lower(substring(n_name, 1, 8))
+), best AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY rank, n_nationkey) AS rn FROM hits)
+SELECT r.c_custkey, r.ref, CAST(b.rank AS INTEGER) AS rank, b.n_nationkey FROM refs r LEFT JOIN best b ON r.c_custkey = b.c_custkey AND b.rn = 1
 """)
 def prioritized_lookup(t: Tables) -> DataFrame:
-    refs = t.spark.range(1).select(F.explode(F.array(*[F.lit(r) for r in _REFS])).alias("ref"))
+    """What every customer says of a nation: its name, its name in another spelling, its beginning, or nothing."""
+    said = F.expr("CASE c_custkey % 4 WHEN 0 THEN n_name WHEN 1 THEN lower(replace(n_name, '_', '-')) WHEN 2 THEN concat(n_name, 'x') ELSE 'none' END")
+    refs = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", said.alias("ref"))
 
     def keys(c: str) -> list:
         return [F.col(c), loose(F.col(c)), F.lower(F.substring(c, 1, 8))]
 
-    found = lookup.prioritized_lookup(refs, "ref", keys("ref"), t.nation.select("n_nationkey", "n_name"), keys("n_name"), [F.col("__target.n_nationkey")])
-    return found.select("ref", "rank", F.col("target.n_nationkey").alias("n_nationkey"))
+    found = lookup.prioritized_lookup(refs, "c_custkey", keys("ref"), t.nation.select("n_nationkey", "n_name"), keys("n_name"), [F.col("__target.n_nationkey")])
+    return found.select("c_custkey", "ref", "rank", F.col("target.n_nationkey").alias("n_nationkey"))
 
 
 @query("""
@@ -199,22 +199,11 @@ def inclusion_check(t: Tables) -> DataFrame:
     return out
 
 
-@query("""
-SELECT DISTINCT least(a.l_suppkey, b.l_suppkey) AS s1, greatest(a.l_suppkey, b.l_suppkey) AS s2
-FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_quantity = 50) a
-JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_quantity = 50) b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey
-""")
-def symmetric_dedupe(t: Tables) -> DataFrame:
-    edges = t.lineitem.where("l_quantity = 50").select("l_partkey", "l_suppkey").distinct()
-    pairs = edges.withColumnRenamed("l_suppkey", "s1").join(edges.withColumnRenamed("l_suppkey", "s2"), "l_partkey").where("s1 < s2")
-    return merge.dedupe_symmetric(pairs.select("s1", "s2"), "s1", "s2")
-
-
 @query("""
 SELECT DISTINCT least(l_suppkey, o_custkey) AS s1, greatest(l_suppkey, o_custkey) AS s2
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey <> o_custkey
 """)
-def symmetric_dedupe_whole(t: Tables) -> DataFrame:
+def symmetric_dedupe(t: Tables) -> DataFrame:
     """Directed pairs of every line of the table."""
     pairs = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_suppkey").alias("s1"), F.col("o_custkey").alias("s2"))
     return merge.dedupe_symmetric(pairs.where("s1 <> s2"), "s1", "s2")
@@ -239,17 +228,17 @@ def sanitize_dedup(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT n_nationkey, md5(string_agg(c_name, '|' ORDER BY c_custkey)) AS signature, count(*) AS n_customers
-FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey
+SELECT c_nationkey, count(*) AS n, CAST(CAST(sum(CAST('0x' || substring(md5('["' || c_custkey || '","' || c_name || '"]'), 1, 15) AS BIGINT)) AS HUGEINT) AS VARCHAR) AS signature
+FROM customer GROUP BY c_nationkey
 """)
 def signature(t: Tables) -> DataFrame:
-    joined = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    names = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: x["c_name"])
-    return joined.groupBy("n_nationkey").agg(F.md5(F.array_join(names, "|")).alias("signature"), F.count("*").alias("n_customers"))
+    return diff.signature(t.customer, ["c_custkey", "c_name"], "c_nationkey")
 
 
 @query("SELECT doc_id, n_chars, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id, n_chars FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, n_chars + 1 FROM documents WHERE doc_id % 3 = 0) c WHERE c.doc_id = d.doc_id AND c.n_chars = d.n_chars)")
 def incremental_anti(t: Tables) -> DataFrame:
-    docs = t.documents.select("doc_id", "n_chars", "lang")
-    cached = docs.select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("n_chars")).otherwise(F.col("n_chars") + 1).alias("n_chars"))
-    return docs.join(cached, ["doc_id", "n_chars"], "left_anti")
+    """Files that are new or have another size than those that were parsed before."""
+    when = F.lit("2024-01-01").cast("timestamp")
+    docs = t.documents.select(F.lit("w").alias("workspace"), F.col("doc_id").alias("path"), F.col("n_chars").alias("size"), when.alias("mtime"), "lang")
+    cached = docs.withColumn("size", F.when(F.col("path") % 3 != 0, F.col("size")).otherwise(F.col("size") + 1))
+    return files.changed(docs, cached).select(F.col("path").alias("doc_id"), F.col("size").alias("n_chars"), "lang")

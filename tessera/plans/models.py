@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import scan
+from tessera.plans.readers import expected_sql, filled
 from tessera.plans.registry import Tables, query
+from tessera.sources import files
 
 
 def _files(t: Tables) -> DataFrame:
@@ -51,13 +53,32 @@ def resolve_fixture(t: Tables) -> DataFrame:
     return scan.relations(models).select("workspace", "id", "kind", "cardinality", "optional", "on_delete")
 
 
-@query("""
-SELECT page_id, url, CAST((CASE WHEN regexp_matches(url, '(?i)(?:^|/)(?:index|home)[^/]*$') THEN 10 ELSE 0 END) + (CASE WHEN url LIKE '%.html' THEN 3 ELSE 0 END)
-       - (CASE WHEN len(list_filter(string_split(url, '/'), lambda s: s IN ('test', 'tests', 'docs', 'example'))) > 0 THEN 6 ELSE 0 END) AS INTEGER) AS priority
-FROM pages
+_FOLDERS = ("src", "db", "src/models", "docs", "Db", "test/db", "lib/sql/old")
+_NAMES = ("schema.rb", "a.sql", "index.ts", "shop.entity.ts", "ShopDbContext.cs", "schema.sql", "x.model.cjs", "models.pyc")
+
+
+@query(f"""
+WITH f(i, folder, hint, low) AS (VALUES (0, 'src', 0, 0), (1, 'db', 5, 0), (2, 'src/models', 5, 0), (3, 'docs', 0, 6), (4, 'Db', 0, 0), (5, 'test/db', 5, 6), (6, 'lib/sql/old', 5, 0)),
+n(j, name, strong) AS (VALUES (0, 'schema.rb', 10), (1, 'a.sql', 3), (2, 'index.ts', 0), (3, 'shop.entity.ts', 10), (4, 'ShopDbContext.cs', 10), (5, 'schema.sql', 13), (6, 'x.model.cjs', 10), (7, 'models.pyc', 0))
+SELECT page_id, folder || '/' || name AS path, CAST(hint - low + strong AS INTEGER) AS priority FROM pages JOIN f ON page_id % {len(_FOLDERS)} = i JOIN n ON page_id % {len(_NAMES)} = j
 """)
 def path_priority(t: Tables) -> DataFrame:
-    url = F.col("url")
-    low = F.arrays_overlap(F.split(url, "/"), F.array(*[F.lit(x) for x in ("test", "tests", "docs", "example")]))
-    score = F.when(url.rlike(r"(?i)(?:^|/)(?:index|home)[^/]*$"), 10).otherwise(0) + F.when(url.endswith(".html"), 3).otherwise(0) - F.when(low, 6).otherwise(0)
-    return t.pages.select("page_id", "url", score.alias("priority"))
+    """How likely paths declare a schema, one for every page."""
+    pick = lambda some: F.element_at(F.array(*[F.lit(x) for x in some]), (F.col("page_id") % len(some)).cast("int") + 1)
+    path = F.concat(pick(_FOLDERS), F.lit("/"), pick(_NAMES))
+    return t.pages.select("page_id", path.alias("path")).withColumn("priority", files.priority(F.col("path")))
+
+
+_LISTED = (
+    ("db/schema.sql", 18), ("docs/db/x.sql", 2), ("src/a@N.ts", 0), ("src/b.ts", 0), ("src/c.ts", 0), ("lib/models.py", 10), ("node_modules/x/schema.sql", None), ("test/fixtures/schema.sql", None), ("db/1.down.sql", None),
+    ("readme.md", None), ("tmp/z.sql", 3), ("huge.sql", None),
+)
+
+
+@query(expected_sql([("6 of 7", path, str(rank)) for path, rank in _LISTED if rank is not None and path != "src/c.ts"]))
+def scan_filter(t: Tables) -> DataFrame:
+    """Files of every nation's tree that are chosen: included, not excluded, small enough, the likeliest ones."""
+    each = F.explode(F.array(*[F.struct(filled(path).alias("path"), F.lit(files.MOST_BYTES + 1 if path == "huge.sql" else 10).alias("length")) for path, _ in _LISTED]))
+    listed = t.nation.select(F.concat(F.lit("w"), "n_nationkey").alias("workspace"), "n_nationkey", "n_regionkey", each.alias("f")).select("workspace", "f.*")
+    chosen = files.candidates(files.wanted(listed, scan.include_regex()), scan.include_regex(), 6)
+    return chosen.select("workspace", F.when(F.col("truncated"), "6 of 7").otherwise("all").alias("part"), F.col("path").alias("name"), F.col("priority").cast("string").alias("detail"))

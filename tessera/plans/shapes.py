@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import graph
+from tessera.operators import geometry, graph
 from tessera.plans.registry import Tables, query
 
 
@@ -36,45 +36,12 @@ def topk_largest(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n_lines")).orderBy(F.desc("n_lines"), "l_orderkey").limit(50)
 
 
-@query("""
-WITH edges AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_quantity = 50)
-SELECT 's' || s AS v, count(*) AS degree FROM edges GROUP BY s UNION ALL SELECT 'p' || p, count(*) FROM edges GROUP BY p
-""")
-def degree_rank(t: Tables) -> DataFrame:
-    return graph.degrees(_part_supplier(t, "l_quantity = 50"))
-
-
-def _part_supplier(t: Tables, where: str = "true") -> DataFrame:
-    return t.lineitem.where(where).select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")).distinct()
-
-
-@query("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_quantity = 50),
-g AS (SELECT 'p' || p AS a, 's' || s AS b FROM e UNION ALL SELECT 's' || s, 'p' || p FROM e),
-start AS (SELECT min(a) AS v FROM g),
-reach(v, hop) AS (SELECT v, 0 FROM start UNION SELECT g.b, hop + 1 FROM reach JOIN g ON g.a = reach.v WHERE hop < 2)
-SELECT v, CAST(min(hop) AS INTEGER) AS hop FROM reach GROUP BY v
-""")
-def hops2(t: Tables) -> DataFrame:
-    edges = _part_supplier(t, "l_quantity = 50")
-    start = graph.undirected(edges).agg(F.min("a").alias("v"))
-    return graph.within_hops(edges, start, 2)
-
-
-@query("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1),
-g AS (SELECT 'p' || p AS a, 's' || s AS b FROM e UNION ALL SELECT 's' || s, 'p' || p FROM e),
-reach(v, w) AS (SELECT DISTINCT a, a FROM g UNION SELECT reach.v, g.b FROM reach JOIN g ON g.a = reach.w)
-SELECT v, min(w) AS component FROM reach GROUP BY v
-""")
-def components(t: Tables) -> DataFrame:
-    edges = _part_supplier(t, "l_quantity = 50 AND l_discount = 0.1")
-    vertices = edges.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-    return graph.components(vertices, edges)
+def _part_supplier(t: Tables) -> DataFrame:
+    return t.lineitem.select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")).distinct()
 
 
 @query()
-def components_whole(t: Tables) -> DataFrame:
+def components(t: Tables) -> DataFrame:
     """Over every edge of the table; without SQL, tests compare with brute force."""
     edges = _part_supplier(t)
     return graph.components(edges.select(F.explode(F.array("a", "b")).alias("v")).distinct(), edges)
@@ -84,7 +51,7 @@ def components_whole(t: Tables) -> DataFrame:
 WITH edges AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem)
 SELECT 's' || s AS v, count(*) AS degree FROM edges GROUP BY s UNION ALL SELECT 'p' || p, count(*) FROM edges GROUP BY p
 """)
-def degree_rank_whole(t: Tables) -> DataFrame:
+def degree_rank(t: Tables) -> DataFrame:
     return graph.degrees(_part_supplier(t))
 
 
@@ -96,7 +63,7 @@ two AS (SELECT p AS v FROM e WHERE s IN (SELECT v FROM one) UNION SELECT s FROM
 reach AS (SELECT v, 0 AS hop FROM start UNION ALL SELECT v, 1 FROM one UNION ALL SELECT v, 2 FROM two)
 SELECT v, CAST(min(hop) AS INTEGER) AS hop FROM reach GROUP BY v
 """)
-def hops2_whole(t: Tables) -> DataFrame:
+def hops2(t: Tables) -> DataFrame:
     edges = _part_supplier(t)
     return graph.within_hops(edges, graph.undirected(edges).agg(F.min("a").alias("v")), 2)
 
@@ -106,17 +73,8 @@ WITH visible AS (SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_n
 edges AS (SELECT DISTINCT l_suppkey AS a, o_custkey % 100 + 1 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT a, CAST(b AS BIGINT) AS b FROM edges WHERE a IN (SELECT s_suppkey FROM visible) AND b IN (SELECT s_suppkey FROM visible)
 """)
-def visible_nodes_edges_whole(t: Tables) -> DataFrame:
-    return _visible(t, t.lineitem)
-
-
-@query("""
-WITH visible AS (SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey NOT IN (0, 3)),
-edges AS (SELECT DISTINCT l_suppkey AS a, o_custkey % 100 + 1 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity = 50)
-SELECT a, CAST(b AS BIGINT) AS b FROM edges WHERE a IN (SELECT s_suppkey FROM visible) AND b IN (SELECT s_suppkey FROM visible)
-""")
 def visible_nodes_edges(t: Tables) -> DataFrame:
-    return _visible(t, t.lineitem.where("l_quantity = 50"))
+    return _visible(t, t.lineitem)
 
 
 def _visible(t: Tables, lineitem: DataFrame) -> DataFrame:
@@ -147,19 +105,18 @@ SELECT a.event_id AS a, b.event_id AS b FROM r a JOIN r b ON a.user_id = b.user_
 """)
 def rect_overlap(t: Tables) -> DataFrame:
     low = F.unix_seconds(F.col("ts").cast("timestamp"))
-    r = t.events.select("event_id", "user_id", low.alias("low"), (low + F.floor(F.col("value") * 60)).alias("high"))
-    a, b = r.alias("a"), r.alias("b")
-    meets = (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.event_id") < F.col("b.event_id")) & (F.col("a.low") < F.col("b.high")) & (F.col("b.low") < F.col("a.high"))
-    return a.join(b, meets).select(F.col("a.event_id").alias("a"), F.col("b.event_id").alias("b"))
+    spans = t.events.select("user_id", F.col("event_id").alias("id"), low.alias("low"), (low + F.floor(F.col("value") * 60)).alias("high"))
+    return geometry.overlapping(spans, ["user_id"], 3600)
 
 
 @query("SELECT label, round(min(embedding[1]), 5) AS min_x, round(max(embedding[1]), 5) AS max_x, round(min(embedding[2]), 5) AS min_y, round(max(embedding[2]), 5) AS max_y, count(*) AS n FROM (SELECT label, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings) GROUP BY label")
 def bounding_box(t: Tables) -> DataFrame:
     x, y = (F.col("embedding")[k].cast("double") for k in (0, 1))
-    rounded = lambda f, c: F.round(f(c), 5)
-    return t.embeddings.groupBy("label").agg(
-        rounded(F.min, x).alias("min_x"), rounded(F.max, x).alias("max_x"), rounded(F.min, y).alias("min_y"), rounded(F.max, y).alias("max_y"), F.count("*").alias("n")
-    )
+    zero = F.lit(0.0)
+    rects = t.embeddings.select("label", F.struct(x.alias("x"), y.alias("y"), zero.alias("width"), zero.alias("height")).alias("rect"))
+    box = geometry.bounds(rects, "label").join(t.embeddings.groupBy("label").agg(F.count("*").alias("n")), "label")
+    of = lambda c: F.round(c, 5)
+    return box.select("label", of(F.col("x")).alias("min_x"), of(F.col("x") + F.col("width")).alias("max_x"), of(F.col("y")).alias("min_y"), of(F.col("y") + F.col("height")).alias("max_y"), "n")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")

@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 
 from tessera.functions import inflect
 from tessera.functions import text as tx
-from tessera.operators import search
+from tessera.operators import scan, search
 from tessera.plans.registry import Tables, query
+from tessera.sources import files
 
 
 @query("""
-WITH s AS (SELECT DISTINCT source FROM documents), k AS (SELECT source, regexp_extract(source, '^\\D+') AS stem, CAST(regexp_extract(source, '\\d+') AS BIGINT) AS num FROM s)
-SELECT source, row_number() OVER (ORDER BY stem, num) AS rank FROM k
+WITH s AS (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL), k AS (SELECT source, regexp_extract(source, '^\\D+') AS stem, regexp_extract(source, '\\d+') AS num FROM s)
+SELECT source, stem || CASE WHEN num = '' THEN '' ELSE '|0' || lpad(CAST(length(CAST(CAST(num AS BIGINT) AS VARCHAR)) AS VARCHAR), 6, '0') || CAST(num AS BIGINT) || lpad(CAST(999999 - length(num) AS VARCHAR), 6, '0') END AS sort_key FROM k
 """)
 def natural_order(t: Tables) -> DataFrame:
-    sources = t.documents.select("source").distinct()
-    return sources.select("source", F.row_number().over(Window.orderBy(tx.natural_key(F.col("source")))).cast("long").alias("rank"))
+    """The key by which texts sort as people number them, of every source."""
+    sources = t.documents.select("source").where("source IS NOT NULL").distinct()
+    return sources.select("source", F.array_join(tx.natural_key(F.col("source")), "|").alias("sort_key"))
 
 
 @query("""
@@ -31,21 +33,30 @@ def snake_words(t: Tables) -> DataFrame:
     )
 
 
-_WORDS = (
-    "quiz ox mouse louse matrix vertex index box church class bush category query soliloquy hive wolf half knife wife "
-    "analysis crisis datum stadium buffalo tomato bus alias status octopus virus axis testis news user person salesperson "
-    "child woman human sheep equipment move sex zombie campus menu sku database shoe hero movie series tie cookie "
-    "cache niche comment thesis"
-).split()
+# Words with their plural and their singular, by hand.
+_INFLECTED = [tuple(x.split("/")) for x in (
+    "quiz/quizzes/quiz ox/oxen/ox mouse/mice/mouse louse/lice/louse matrix/matrices/matrix vertex/vertices/vertex index/indices/index box/boxes/box church/churches/church class/classes/class bush/bushes/bush "
+    "category/categories/category query/queries/query hive/hives/hive wolf/wolves/wolf half/halves/half knife/knives/knife wife/wives/wife analysis/analyses/analysis crisis/crises/crisis datum/data/datum "
+    "stadium/stadia/stadium buffalo/buffaloes/buffalo tomato/tomatoes/tomato bus/buses/bus alias/aliases/alias status/statuses/status octopus/octopi/octopus virus/viri/virus axis/axes/axis testis/testes/testis "
+    "news/news/news user/users/user person/people/person salesperson/salespeople/salesperson child/children/child woman/women/woman salesman/salesmen/salesman sheep/sheep/sheep equipment/equipment/equipment "
+    "move/moves/move zombie/zombies/zombie campus/campus/campus menu/menus/menu database/databases/database shoe/shoes/shoe hero/heros/hero movie/movies/movie series/series/series tie/ties/tie "
+    "cookie/cookies/cookie cache/caches/cache niche/niches/niche comment/comments/comment thesis/theses/thesis boxes/boxes/box people/people/person wolves/wolves/wolf knives/knives/knife categories/categories/category "
+    "matrices/matrices/matrix mice/mice/mouse databases/databases/database shoes/shoes/shoe heroes/heroes/hero movies/movies/movie ties/ties/tie cookies/cookies/cookie caches/caches/cache statuses/statuses/status "
+    "buses/buses/bus children/children/child analyses/analyses/analysis data/data/datum oxen/oxen/ox hives/hives/hive addresses/addresses/address keys/keys/key days/days/day"
+).split()]
+_INFLECTED_SQL = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _INFLECTED)
 
 
-@query(
-    f"WITH w AS (SELECT DISTINCT lower(split_part(p_name, ' ', -1)) AS word FROM part UNION SELECT unnest({_WORDS})) "
-    f"SELECT word, {inflect.inflect_sql('word', True)} AS plural, {inflect.inflect_sql('word', False)} AS singular FROM w"
-)
+@query(f"""
+WITH w AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS word FROM part), v(word, plural, singular) AS (VALUES {_INFLECTED_SQL})
+SELECT word, CASE WHEN regexp_matches(word, '(x|ch|ss|sh)$') THEN word || 'es' WHEN regexp_matches(word, '[^aeiouy]y$') THEN left(word, length(word) - 1) || 'ies' WHEN word LIKE '%s' THEN word ELSE word || 's' END AS plural,
+       CASE WHEN word LIKE '%ss' THEN word WHEN word LIKE '%s' THEN left(word, length(word) - 1) ELSE word END AS singular FROM w WHERE word NOT IN (SELECT word FROM v)
+UNION ALL SELECT word, plural, singular FROM v
+""")
 def pluralize_rules(t: Tables) -> DataFrame:
-    fixed = t.spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in _WORDS])).alias("word"))
-    words = t.part.select(F.lower(F.element_at(F.split("p_name", " "), -1)).alias("word")).union(fixed).distinct()
+    """Every word of the names of parts, and words of each rule."""
+    fixed = t.spark.range(1).select(F.explode(F.array(*[F.lit(w) for w, _, _ in _INFLECTED])).alias("word"))
+    words = t.part.select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).union(fixed).distinct()
     return words.select("word", inflect.inflect_column(F.col("word"), True).alias("plural"), inflect.inflect_column(F.col("word"), False).alias("singular"))
 
 
@@ -81,9 +92,14 @@ def glob_filter(t: Tables) -> DataFrame:
     return t.pages.where(F.col("url").rlike(glob_regex(["http{,s}:/**/*[0-4]"]))).select("page_id", "url")
 
 
-@query("SELECT doc_id, n_chars FROM documents WHERE n_chars <= 2000 ORDER BY n_chars DESC, doc_id LIMIT 100")
+@query("""
+SELECT source || '/' || doc_id || CASE WHEN doc_id % 7 = 0 THEN '.down.sql' WHEN doc_id % 5 = 0 THEN '.SQL' ELSE '.sql' END AS path, n_chars AS length
+FROM documents WHERE n_chars <= 2000 AND doc_id % 7 <> 0 AND source IS NOT NULL
+""")
 def size_limit(t: Tables) -> DataFrame:
-    return t.documents.where("n_chars <= 2000").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(100)
+    """Files that are small enough and not excluded, made of documents."""
+    name = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 7 == 0, ".down.sql").when(F.col("doc_id") % 5 == 0, ".SQL").otherwise(".sql"))
+    return files.wanted(t.documents.select(name.alias("path"), F.col("n_chars").alias("length")), scan.include_regex(), most_bytes=2000)
 
 
 @query("""
@@ -119,15 +135,18 @@ _Q = "ring"
 
 
 @query(f"""
-WITH l AS (SELECT DISTINCT p_name AS label, lower(p_name) AS h FROM part), m AS (SELECT *, strpos(h, '{_Q}') - 1 AS pos FROM l),
-s AS (SELECT label, CASE WHEN h = '{_Q}' THEN 1000.0 WHEN pos = 0 THEN 700.0 WHEN pos > 0 AND regexp_matches(substring(h, pos, 1), '[^a-z0-9]') THEN 560.0 - pos WHEN pos > 0 THEN 420.0 - pos END
-      - greatest(length(h) - {len(_Q)}, 0) * 0.3 AS score FROM m WHERE pos >= 0)
-SELECT label, round(CAST(score AS DOUBLE), 6) AS score FROM s ORDER BY score DESC, length(label), label LIMIT 200
+WITH l AS (SELECT DISTINCT p_name AS label, lower(p_name) AS h FROM part),
+m AS (SELECT *, strpos(h, '{_Q}') - 1 AS pos, strpos(h, 'r') AS p1 FROM l),
+m2 AS (SELECT *, CASE WHEN p1 > 0 AND strpos(substring(h, p1 + 1), 'i') > 0 THEN p1 + strpos(substring(h, p1 + 1), 'i') END AS p2 FROM m),
+m3 AS (SELECT *, CASE WHEN strpos(substring(h, p2 + 1), 'n') > 0 THEN p2 + strpos(substring(h, p2 + 1), 'n') END AS p3 FROM m2),
+m4 AS (SELECT *, CASE WHEN strpos(substring(h, p3 + 1), 'g') > 0 THEN p3 + strpos(substring(h, p3 + 1), 'g') END AS p4 FROM m3),
+s AS (SELECT label, h, CASE WHEN h = '{_Q}' THEN 1000.0 WHEN pos = 0 THEN 700.0 WHEN pos > 0 AND regexp_matches(substring(h, pos, 1), '[^a-z0-9]') THEN 560.0 - pos WHEN pos > 0 THEN 420.0 - pos
+      WHEN p4 IS NOT NULL THEN 240.0 - (p4 - p1 + 1) - 4.0 * (1 + CAST(p2 <> p1 + 1 AS INTEGER) + CAST(p3 <> p2 + 1 AS INTEGER) + CAST(p4 <> p3 + 1 AS INTEGER)) - (p1 - 1) END AS score FROM m4)
+SELECT label, round(CAST(score - greatest(length(h) - {len(_Q)}, 0) * 0.3 AS DOUBLE), 6) AS score FROM s WHERE score IS NOT NULL ORDER BY score DESC, length(label), label LIMIT 200
 """)
 def fuzzy_rank(t: Tables) -> DataFrame:
     items = t.part.select(F.col("p_name").alias("label"), F.lit("table").alias("kind")).distinct()
-    hits = search.search(items.where(F.lower("label").contains(_Q)), _Q)
-    return hits.select("label", F.round("score", 6).alias("score"))
+    return search.search(items, _Q).select("label", F.round("score", 6).alias("score"))
 
 
 _CATALOG = {
@@ -141,13 +160,7 @@ _CATALOG = {
 _ROWS = ", ".join(f"('{t}', '{c}')" for t, cs in _CATALOG.items() for c in cs)
 
 
-@query(f"""
-WITH c(tbl, col) AS (VALUES {_ROWS}), stems AS (SELECT tbl, col, regexp_extract(col, '^(.+)_id$', 1) AS stem FROM c WHERE regexp_matches(col, '^.+_id$')),
-hits AS (SELECT s.tbl, s.col, t.tbl AS target, CASE WHEN t.tbl = {inflect.inflect_sql('s.stem', True)} THEN 0 ELSE 1 END AS rank
-         FROM stems s JOIN (SELECT DISTINCT tbl FROM c) t ON t.tbl = {inflect.inflect_sql('s.stem', True)} OR t.tbl = s.stem),
-best AS (SELECT *, row_number() OVER (PARTITION BY tbl, col ORDER BY rank, target) AS rn FROM hits)
-SELECT s.tbl, s.col, b.target FROM stems s LEFT JOIN best b ON s.tbl = b.tbl AND s.col = b.col AND b.rn = 1
-""")
+@query("SELECT * FROM (VALUES ('documents', 'doc_id', NULL), ('labels', 'doc_id', NULL), ('conversations', 'conv_id', 'conv'), ('events', 'event_id', 'events'), ('events', 'user_id', 'users')) AS v(tbl, col, target)")
 def fk_inference(t: Tables) -> DataFrame:
     from tessera.operators.lookup import prioritized_lookup
 

@@ -175,3 +175,11 @@ def test_half_typed_files(text):
 def test_what_is_broken_costs_only_itself():
     p = python_orms.django("blog/models.py", DJANGO + "\nclass Broken(models.Model):\n    ok = models.CharField(max_length=1)\n    bad = models.CharField(\n")
     assert names(find(p, "Broken")) == ["id", "ok"] and names(find(p, "Author"))[1] == "name"
+
+
+def test_each_broken_class_gives_what_stands_before_its_error():
+    fields = "\n".join(f"    f{i} = models.IntegerField()" for i in range(30))
+    text = "from django.db import models\n" + "".join(f"class Ship{i}(models.Model):\n{fields}\n    broken = models.CharField(max_length=\n    after = models.TextField()\n\n" for i in range(60)) + "class Last(models.Model):\n    name = models.TextField()\n"
+    (p,) = [x for x in parse_file("fleet/models.py", text) if x.kind == "django"]
+    assert [e.model_name for e in p.entities] == [*(f"Ship{i}" for i in range(60)), "Last"]
+    assert all(len(e.columns) == 31 for e in p.entities[:-1])

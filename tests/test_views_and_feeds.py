@@ -2,7 +2,13 @@
 
 import json
 import math
+import os
 import random
+import shutil
+import time
+
+from pyspark import InheritableThread
+from pyspark.sql import functions as F
 
 from tessera.operators import layout, model_views, sanitize, scan
 from tessera.streaming import feed
@@ -133,3 +139,43 @@ def test_rescan_publishes_changes_once(spark, tmp_path):
     texts["w"] += " CREATE TABLE b (id int);"
     rescan(event, 2)
     assert published == [(0, 1), (2, 2)]
+
+
+def test_a_batch_that_runs_again_publishes_the_same(spark, tmp_path):
+    """A failure after publishing, and old signatures that go."""
+    texts = {"w": "1", "v": "1"}
+    rows = lambda: spark.createDataFrame(list(texts.items()), "workspace string, said string")
+    rescan = feed.Rescan(lambda touched: touched.join(rows(), "workspace"), lambda f: f, feed.to_folder(f"{tmp_path}/out"), f"{tmp_path}/signatures", every=2)
+    event = spark.createDataFrame([("w",), ("v",)], "workspace string")
+    read = lambda n: sorted(r.workspace for r in spark.read.parquet(f"{tmp_path}/out/batch={n}").collect())
+    rescan(event, 0)
+    shutil.rmtree(f"{tmp_path}/signatures/batch=0")
+    rescan(event, 0)
+    assert read(0) == ["v", "w"]
+    texts["w"] = "2"
+    rescan(event, 1)
+    rescan(event, 1)
+    assert read(1) == ["w"]
+    for batch in range(2, 8):
+        texts["v"] = str(batch)
+        rescan(event, batch)
+        assert read(batch) == ["v"]
+    assert sorted(n for n in os.listdir(f"{tmp_path}/signatures")) == ["batch=4", "batch=5", "batch=6", "batch=7"]
+    assert {r.workspace: r.seen for r in rescan.known(spark).collect()} == {"v": 7, "w": 1}
+
+
+def test_the_newest_run_counts(spark):
+    latest, out = feed.Latest(spark), {}
+    slow = F.udf(lambda i: time.sleep(0.3) or i, "long")
+
+    def run(name, n):
+        out[name] = latest.run(lambda: spark.range(n, numPartitions=1).select(slow("id")).collect())
+
+    first = InheritableThread(target=run, args=("old", 200))
+    first.start()
+    time.sleep(2)
+    second = InheritableThread(target=run, args=("new", 2))
+    second.start()
+    for t in (second, first):
+        t.join(60)
+    assert out["old"] is None and len(out["new"]) == 2

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from tessera.operators import graph
 
 
 @pytest.fixture(scope="module")
@@ -22,13 +23,15 @@ def folder(spark, tmp_path_factory):
     return at
 
 
-def test_components_of_every_edge(spark, folder):
-    found = {r.v: r.component for r in __spark_entry__.queries()["components_whole"](spark, folder).collect()}
+@pytest.mark.parametrize("most", [0, 3, 1_000_000])
+def test_components_of_every_edge(spark, folder, monkeypatch, most):
+    monkeypatch.setattr(graph, "TASK_EDGES", most)
+    found = {r.v: r.component for r in __spark_entry__.queries()["components"](spark, folder).collect()}
     groups = [["p1", "p2", "s1", "s2"], ["p3", "p4", "s3"], ["p5", "p6", "s4"], ["p7", "s5"]]
     assert found == {v: g[0] for g in groups for v in g}
 
 
-@pytest.mark.parametrize("name", ["degree_rank_whole", "hops2_whole", "visible_nodes_edges_whole", "symmetric_dedupe_whole"])
+@pytest.mark.parametrize("name", ["degree_rank", "hops2", "visible_nodes_edges", "symmetric_dedupe"])
 def test_every_line_counts(spark, folder, name):
     db = duckdb.connect()
     for table in ("lineitem", "orders", "supplier", "nation"):
