@@ -13,7 +13,8 @@ character, and so does one that has backslashes there already, which is undone
 by taking one away: texts come back as they were.  Only turns of the assistant
 are under the loss mask, their control strings are not.
 
-Cases: a null text is empty and a null role is the empty role; turns are sorted
+Cases: a null text is empty and a null role is the empty role; a text of any
+length is one turn; turns are sorted
 by turn, role and text, nulls first, so ties have one order; repeated rows are
 repeated turns; a null conversation id is a conversation; an empty table gives
 an empty result; other columns are ignored.

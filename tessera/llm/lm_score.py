@@ -1,14 +1,23 @@
-"""Stupid-backoff scores of a bigram model of the corpus itself.
+"""Stupid-backoff scores of an n-gram model of the corpus itself.
 
-    score(w | v) = count(v w) / count(v)          if count(v w) >= MIN_COUNT
-                   ALPHA * count(w) / words       otherwise
-    score(w)     = count(w) / words               for the first word
+    score(w | c) = count(c w) / count(c)          if count(c w) >= min_count
+                   ALPHA * score(w | c')          otherwise, c' without its first word
+    score(w)     = count(w) / words
 
-and a document's score is the mean of their decimal logarithms.  The relations
-are those of the textbook: n-gram counts partitioned by hash, joined to the
-exploded n-grams of the documents, and summed for each document.  A row for
-every n-gram of every document would be tens of times the corpus, so the rows
-are kept in blocks:
+and a document's score is the mean of its words' decimal logarithms, each after
+as many of the words before it as the order allows.  An n-gram that occurs once
+occurs in the scored document alone, so at a ``min_count`` of 1 the corpus would
+vouch for every n-gram of its own and nothing would ever back off; at 2 an n-gram
+must have been met elsewhere or again.
+
+``score_by_join`` is the relational form, for any order, by DataFrames alone:
+n-gram counts partitioned by hash, joined to the exploded n-grams of the
+documents, and summed for each document.  A known n-gram adds to a document's sum
+what it scores above backing off, so one table of such gains serves all orders.
+
+A row for every n-gram of every document is several times the corpus.  For
+bigrams ``score`` keeps the same relations in blocks, as long as these have rows
+enough to be worth it:
 
 1. documents of some megabytes become a block: the 64-bit hashes of its words
    and its text as word numbers;
@@ -17,15 +26,18 @@ are kept in blocks:
 3. a bucket adds up its counts and answers each block in the block's own order;
 4. the answers meet their block again, which scores its documents.
 
-Every shuffle is by block or bucket, evenly, and grows with the corpus.
+Blocks and buckets both grow with the corpus, so beyond ``MOST_SLICES`` rows, when
+a row has few n-grams left, the join takes over.
 
-Cases: a null, empty or blank text has no words and a null score; words are
-lower-cased in A-Z; repeated rows count and are scored as often as they come; an
-empty table stays empty; other columns are ignored.
+Cases: a null, empty or blank text has no words and a null score; a text of any
+length is one list of words; words are lower-cased in A-Z; repeated rows count
+and are scored as often as they come; an empty table stays empty; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +45,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import common
@@ -43,8 +55,11 @@ MIN_COUNT = 2
 #: Characters after which a block is closed, and n-grams that a bucket should hold.
 BLOCK_CHARS = 8 << 20
 BUCKET_NGRAMS = 1_000_000
-#: Words whose hash a worker keeps.
+#: Blocks times buckets up to which n-grams travel in blocks.
+MOST_SLICES = 50_000_000
+#: Words whose hash a worker keeps, and bytes of a word that is worth keeping.
 CACHE_WORDS = 400_000
+LONG = 64
 
 BLOCKS = "block long, n_words long, n_ngrams long, data binary"
 SLICES = "bucket long, block long, data binary"
@@ -53,7 +68,11 @@ ANSWERS = "block long, bucket long, data binary"
 
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word) & ~1
+        h = xxhash.xxh64_intdigest(word) & ~1
+        if len(word) <= LONG:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -81,8 +100,6 @@ def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 def word_hashes(text: str) -> np.ndarray:
-    if len(_word_hash) > CACHE_WORDS:
-        _word_hash.clear()
     words = text.encode("utf-8", "surrogatepass").lower().split()
     return np.fromiter(map(_word_hash.__getitem__, words), np.uint64, len(words))
 
@@ -234,18 +251,72 @@ def _score(corpus_words: int):
     return run
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 2, min_count: int = MIN_COUNT, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_backoff`` and ``lm_score``, the mean log10 score of a word, of every document."""
     spark = docs.sparkSession
     common.prepare(spark)
+    if order != 2:
+        return score_by_join(docs, id_col=id_col, text_col=text_col, order=order, min_count=min_count)
     n_parts = common.partitions(spark)
     rows = docs.select(common.named(id_col).cast("long").alias("doc_id"), F.coalesce(common.named(text_col), F.lit("")).alias("text"))
     blocks = common.written(rows.mapInArrow(_make_blocks(block_chars), BLOCKS), "lm-blocks", codec="none")
-    words, grams = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_ngrams"), F.lit(0))).first()
+    n_blocks, words, grams = blocks.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_ngrams"), F.lit(0))).first()
     buckets = 1 << max(0, max(2 * n_parts, grams // BUCKET_NGRAMS) - 1).bit_length()
+    if n_blocks * buckets > MOST_SLICES:
+        return score_by_join(docs, id_col=id_col, text_col=text_col, order=order, min_count=min_count)
     slices = blocks.select("block", "data").mapInArrow(_slice(buckets), SLICES)
     answers = slices.repartition(n_parts, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_add_up(min_count), ANSWERS)
     both = answers.unionByName(blocks.select("block", F.lit(-1).cast("long").alias("bucket"), "data"))
     scored = both.repartition(n_parts, "block").sortWithinPartitions("block", "bucket").mapInArrow(_score(max(words, 1)), "doc_id long, n_words long, n_backoff long, log10_sum double")
     mean = F.when(F.col("n_words") > 0, F.round(F.col("log10_sum") / F.col("n_words"), 6))
     return scored.select("doc_id", "n_words", "n_backoff", mean.alias("lm_score"))
+
+
+def exploded(docs: DataFrame, order: int) -> DataFrame:
+    """The n-grams of rows (key, words), words as hashes: ``size``, ``gram``, the grams before and after its ends (``context``, ``rest``), and ``longest``, whether a longer one could end there."""
+    words = F.col("words")
+
+    def hashed(at: Column, size: int) -> Column:
+        return F.xxhash64(F.slice(words, at + 1, size))
+
+    def of_size(k: int) -> Column:
+        none = F.lit(0).cast("long")
+
+        def gram(i: Column) -> Column:
+            context, rest = (hashed(i, k - 1), hashed(i + 1, k - 1)) if k > 1 else (none, none)
+            return F.struct(F.lit(k).alias("size"), hashed(i, k).alias("gram"), context.alias("context"), rest.alias("rest"), (F.lit(k == order) | (i == 0)).alias("longest"))
+
+        every = F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(0), F.size(words) - k), gram))
+        return F.coalesce(every, F.array().cast("array<struct<size:int,gram:bigint,context:bigint,rest:bigint,longest:boolean>>"))
+
+    sizes = [of_size(k) for k in range(1, order + 1)]
+    return docs.select("key", F.explode(F.concat(*sizes)).alias("g")).select("key", "g.*")
+
+
+def score_by_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 2, min_count: int = MIN_COUNT) -> DataFrame:
+    """The same by joins, for any order; nothing runs in Python."""
+    common.prepare(docs.sparkSession)
+    blank = "[\\x20\\x09-\\x0D]+"
+    text = common.lowered(F.coalesce(common.named(text_col), F.lit("")))
+    words = F.transform(F.filter(F.split(text, blank), lambda w: w != ""), lambda w: F.xxhash64(w))
+    rows = docs.select(common.named(id_col).cast("long").alias("doc_id"), words.alias("words"))
+    # Written, so that the keys of rows stay what they are.
+    rows = common.written(rows.withColumn("key", F.monotonically_increasing_id()), "lm-words")
+    grams = exploded(rows, order)
+    counts = grams.groupBy("size", "gram", "context", "rest").agg(F.count("*").alias("n"))
+    counts = common.written(counts.where((F.col("size") == 1) | (F.col("n") >= min_count)), "lm-counts")
+    total = max(rows.agg(F.sum(F.size("words"))).first()[0] or 0, 1)
+    known = counts.where("size = 1").select("gram", "n", F.log10(F.col("n") / total).alias("score"))
+    gains = known.select(F.lit(1).alias("size"), "gram", F.col("score").alias("gain"))
+    for k in range(2, order + 1):
+        shorter = known.select(F.col("gram").alias("context"), F.col("n").alias("n_context")), known.select(F.col("gram").alias("rest"), F.col("score").alias("rest_score"))
+        longer = counts.where(F.col("size") == k).join(shorter[0], "context").join(shorter[1], "rest").withColumn("score", F.log10(F.col("n") / F.col("n_context")))
+        gains = gains.unionByName(longer.select(F.lit(k).alias("size"), "gram", (F.col("score") - F.lit(math.log10(ALPHA)) - F.col("rest_score")).alias("gain")))
+        known = common.written(longer.where(F.col("n") >= min_count).select("gram", "n", "score"), "lm-known")
+    met = grams.groupBy("key", "size", "gram", "longest").agg(F.count("*").alias("times")).join(gains, ["size", "gram"], "left")
+    backed = F.when(F.col("longest") & (F.col("size") > 1) & F.col("gain").isNull(), F.col("times")).otherwise(0)
+    worth = F.coalesce("gain", F.lit(0.0)) + F.when(F.col("size") > 1, math.log10(ALPHA)).otherwise(0.0)
+    sums = met.groupBy("key").agg(F.sum(F.col("times") * worth).alias("log10_sum"), F.sum(backed).cast("long").alias("n_backoff"))
+    n_words = F.size("words").cast("long")
+    out = rows.join(sums, "key", "left").select("doc_id", n_words.alias("n_words"), F.coalesce("n_backoff", F.lit(0)).cast("long").alias("n_backoff"), "log10_sum")
+    return out.select("doc_id", "n_words", "n_backoff", F.when(F.col("n_words") > 0, F.round(F.col("log10_sum") / F.col("n_words"), 6)).alias("lm_score"))

@@ -8,8 +8,8 @@ lengths at a time.  The work is one pass over the documents without a shuffle;
 sequence ids carry the number of the partition in their upper bits, so they are
 unique without any count over the corpus.
 
-Cases: a null text counts as empty and gives the end id alone; a null document
-id stays null; repeated rows are packed as often as they come; an empty table
+Cases: a null text counts as empty and gives the end id alone; a text of any
+length is cut into as many pieces as it takes; a null document id stays null; repeated rows are packed as often as they come; an empty table
 gives an empty result; columns other than the two that are named are ignored.
 """
 

@@ -85,8 +85,10 @@ def dedup(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("parts", [1, 4])
-def test_line_dedup(spark, parts):
+@pytest.mark.parametrize("parts, most, shard", [(1, 10**6, 10**6), (4, 0, 10**6), (3, 10**6, 2), (2, 0, 3)])
+def test_line_dedup(spark, monkeypatch, parts, most, shard):
+    monkeypatch.setattr(line_dedup, "PROBE_KEYS", most)
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", shard)
     shared = ["Shared LINE number one", "  shared line NUMBER one\t", "éÉ another line", "short", "shared\xa0line number two"]
     rows = [(r[0], "\n".join([r[1] or "", shared[i % 5], shared[(i * 3) % 5], shared[i % 2]]) if r[1] is not None and i % 4 else r[1], *r[2:]) for i, r in enumerate(awkward(n=40))]
     got = line_dedup.dedup_lines(frame(spark, rows).repartition(parts))
@@ -95,33 +97,39 @@ def test_line_dedup(spark, parts):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
-def test_a_line_of_every_document(spark):
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_a_line_of_every_document(spark, monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "PROBE_KEYS", most)
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the very same line\nown line number "), F.col("id")).alias("text"))
     got = line_dedup.dedup_lines(docs.repartition(8))
     assert got.where("n_dropped = 1").count() == 2999 and got.where("doc_id = 0").first().n_dropped == 0
 
 
-def test_lm_scores(spark):
-    rows = awkward(n=25)
+def backoff_scores(rows, order):
     docs = [words((r[1] or "").translate(LOW)) for r in rows]
-    one, two = Counter(w for d in docs for w in d), Counter(p for d in docs for p in zip(d, d[1:]))
-    total = sum(one.values())
+    counts = Counter(tuple(d[i : i + k]) for d in docs for k in range(1, order + 1) for i in range(len(d) - k + 1))
+    total = sum(len(d) for d in docs)
+
+    def score(gram):
+        if len(gram) == 1:
+            return math.log10(counts[gram] / total)
+        return math.log10(counts[gram] / counts[gram[:-1]]) if counts[gram] >= 2 else math.log10(0.4) + score(gram[1:])
+
     want = []
     for r, d in zip(rows, docs):
-        s, backed = 0.0, 0
-        for i, w in enumerate(d):
-            n = two[d[i - 1], w] if i else 0
-            if i and n >= 2:
-                s += math.log10(n / one[d[i - 1]])
-            else:
-                s += math.log10(one[w] / total) + (math.log10(0.4) if i else 0)
-                backed += i > 0
-        want.append((r[0], len(d), backed, s / len(d) if d else None))
-    for size in (200, 1 << 20):
-        got = rows_of(lm_score.score(frame(spark, rows).repartition(3), block_chars=size), "doc_id", "n_words", "n_backoff", "lm_score")
-        for g, w in zip(got, sorted(want, key=lambda x: repr((x[0], x[1], x[2], None if x[3] is None else round(x[3], 6))))):
-            assert g[:3] == w[:3] and (g[3] is None) == (w[3] is None) and (g[3] is None or abs(g[3] - w[3]) < 1e-5)
-    assert lm_score.score(frame(spark, [])).count() == 0
+        grams = [tuple(d[max(0, i - order + 1) : i + 1]) for i in range(len(d))]
+        want.append((r[0], len(d), sum(len(g) > 1 and counts[g] < 2 for g in grams), sum(map(score, grams)) / len(d) if d else None))
+    return sorted(want, key=lambda x: repr((x[0], x[1], x[2], None if x[3] is None else round(x[3], 6))))
+
+
+@pytest.mark.parametrize("order, block, slices", [(2, 200, 10**9), (2, 1 << 20, 10**9), (2, 200, 0), (1, 0, 0), (3, 0, 0)])
+def test_lm_scores(spark, monkeypatch, order, block, slices):
+    monkeypatch.setattr(lm_score, "MOST_SLICES", slices)
+    rows = awkward(n=25)
+    got = rows_of(lm_score.score(frame(spark, rows).repartition(3), order=order, block_chars=block), "doc_id", "n_words", "n_backoff", "lm_score")
+    for g, w in zip(got, backoff_scores(rows, order), strict=True):
+        assert g[:3] == w[:3] and (g[3] is None) == (w[3] is None) and (g[3] is None or abs(g[3] - w[3]) < 1e-5)
+    assert lm_score.score(frame(spark, []), order=order).count() == 0
 
 
 def base_counts(text):
