@@ -52,10 +52,9 @@ def scalar_fill(df: DataFrame, column: str, only: DataFrame) -> DataFrame:
 
 def prefer(df: DataFrame, keys: list[str], wanted: Column) -> DataFrame:
     """Rows without ``wanted`` go where their group has one with it; groups are counted before they are joined, so a large one is split."""
-    some = df.where(wanted).select(*keys).distinct().withColumn("__some", F.lit(True))
-    same = [df[k].eqNullSafe(some[k]) for k in keys]
-    joined = df.join(some, reduce(Column.__and__, same), "left").select(*[df[c] for c in df.columns], "__some")
-    return joined.where(F.col("__some").isNull() | wanted).drop("__some")
+    some = df.where(wanted).select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct().withColumn("__some", F.lit(True))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return df.join(some, same, "left").where(F.col("__some").isNull() | wanted).select(*df.columns)
 
 
 def dedupe_symmetric(pairs: DataFrame, a: str, b: str) -> DataFrame:
