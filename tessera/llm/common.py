@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -70,10 +71,26 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{scratch_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
+_temporary: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables that are written inside go at the end, but for those that ask to be kept."""
+    _temporary.append([])
+    try:
+        yield
+    finally:
+        for path in _temporary.pop():
+            clear_scratch(spark, path)
+
+
+def written(df: DataFrame, what: str, codec: str = "zstd", keep: bool = False) -> DataFrame:
     """Write ``df`` to a scratch table and read it back: a cut in the lineage."""
     spark = df.sparkSession
     path = scratch_path(spark, what)
+    if _temporary and not keep:
+        _temporary[-1].append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -111,6 +128,13 @@ def gathered(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def release() -> None:
+    """Workers outlive their tasks: what Arrow and Python no longer use goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux can be asked
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, most_bytes: int = 0
 ) -> DataFrame:
@@ -121,8 +145,7 @@ def map_batches(
         for batch in gathered(batches, most_bytes) if most_bytes else batches:
             if batch.num_rows and (out := step(batch)) is not None and out.num_rows:
                 yield out
-        # workers outlive their tasks: what Arrow no longer uses goes back
-        pa.default_memory_pool().release_unused()
+        release()
 
     return df.mapInArrow(run, schema)
 

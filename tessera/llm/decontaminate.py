@@ -42,7 +42,7 @@ EDIT_RATE = 0.10
 BLOCK_CHARS = 2 << 20
 FILTER_BITS = 21
 #: Documents' characters that are searched at once.
-SEARCH_CHARS = 2 << 20
+SEARCH_CHARS = 1 << 19
 _BLANKED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _BLANK = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -328,6 +328,7 @@ def _cleaner(shared: Broadcast):
     def clean(texts: pd.Series) -> pd.Series:
         out = np.ones(len(texts), bool)
         out[np.array([m[0] for m in shared.value.matches(texts.tolist())], np.int64)] = False
+        common.release()
         return pd.Series(out)
 
     return clean

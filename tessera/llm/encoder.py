@@ -43,7 +43,7 @@ _encoders: dict[str, Encoder] = {}
 class Encoder:
     """Encodes texts into little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, parts: int = CACHE_PARTS):
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             described = json.load(file)
@@ -58,12 +58,14 @@ class Encoder:
         self.marks = dict(zip(".,", self._each([".", ","])))
         self.empty = {"\n": self.newline, BARE: b""}
         self.cache = dict(self.empty)
+        self.parts = parts
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        """The worker's own encoder for this vocabulary file."""
+    def of(cls, path: str, parts: int = CACHE_PARTS) -> Encoder:
+        """The worker's own encoder for this vocabulary file, which from now on keeps so many parts."""
         if path not in _encoders:
             _encoders[path] = cls(path)
+        _encoders[path].parts = parts
         return _encoders[path]
 
     def _each(self, texts: list[str]) -> list[bytes]:
@@ -122,7 +124,7 @@ class Encoder:
             parts = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
             ids = list(map(self.cache.get, parts))
             if gaps := [i for i, x in enumerate(ids) if x is None]:
-                if len(self.cache) > CACHE_PARTS:
+                if len(self.cache) > self.parts:
                     self.cache = dict(self.empty)
                 self._learn([parts[i] for i in gaps])
                 for i in gaps:

@@ -26,6 +26,9 @@ from tessera.llm.encoder import ENCODE_BYTES, Encoder
 
 LENGTH = 1024
 END_ID = 0
+#: Parts of texts that a worker keeps, and bytes of text that it takes at once: as the pipeline's last stage it shares executors with what others left.
+KEPT_PARTS = 150_000
+BATCH_BYTES = ENCODE_BYTES // 2
 #: Lower bits of a sequence id: the sequences that one partition may hold.
 SEQUENCE_BITS = 38
 
@@ -52,7 +55,7 @@ def pack(
     )
 
     def make():
-        encoder = Encoder.of(tokenizer)
+        encoder = Encoder.of(tokenizer, KEPT_PARTS)
         upcoming = TaskContext.get().partitionId() << SEQUENCE_BITS
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -78,7 +81,7 @@ def pack(
 
         return step
 
-    return common.map_batches(rows, make, SCHEMA, ENCODE_BYTES)
+    return common.map_batches(rows, make, SCHEMA, BATCH_BYTES)
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:

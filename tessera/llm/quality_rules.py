@@ -7,8 +7,10 @@ casts each vote on good and on bad documents, and a document is kept if its
 posterior probability of being good is high enough.  Only the base limits of
 the contract reject outright.
 
-Cases: a null or empty text has no words and fails the base; repeated rows are
-judged alike; an empty table stays empty.
+Cases: a null or empty text has no words and fails the base; a text of any length
+is counted whole; a null id stays null; repeated rows are judged alike, each for
+itself; an empty table stays empty; columns of any name are kept by the filter
+and ignored by the counts.
 """
 
 from __future__ import annotations
@@ -138,14 +140,16 @@ def count(texts: list[str]) -> list[np.ndarray]:
 
 
 def counts_of(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame(dict(zip(COUNTS, count(texts.tolist()))))
+    out = pd.DataFrame(dict(zip(COUNTS, count(texts.tolist()))))
+    common.release()
+    return out
 
 
 def measured(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` as the struct ``row`` beside the counts of its text; null texts are empty."""
     common.prepare(docs.sparkSession)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    return docs.select(row, F.pandas_udf(counts_of, ", ".join(f"{c} long" for c in COUNTS))(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("counts")).select("row", "counts.*")
+    row = common.as_row(docs)
+    return docs.select(row, F.pandas_udf(counts_of, ", ".join(f"{c} long" for c in COUNTS))(F.coalesce(common.named(text_col), F.lit(""))).alias("counts")).select("row", "counts.*")
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) -> tuple[float, np.ndarray]:
@@ -211,15 +215,16 @@ class Judge:
 def apply_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts, posterior and verdict of every document; texts are read once."""
     rows = measured(docs, text_col=text_col)
-    counts = common.written(rows.select(F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), *COUNTS), "rule-counts")
+    counts = common.written(rows.select(common.named(id_col, "row").cast("long").alias("doc_id"), *COUNTS), "rule-counts")
     return Judge.learned(counts).verdicts(counts)
 
 
 def keep_good(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns.
 
-    Texts are counted twice, once for EM and once for the verdict, which costs
-    less than moving them through a shuffle or a scratch table.
+    Rows are written beside their counts: EM reads the counts alone, the verdict
+    the rest, and no text is counted twice or moved by a shuffle.
     """
-    rows = measured(docs, text_col=text_col)
-    return Judge.learned(rows.select(*COUNTS)).verdicts(rows).where("kept").select("row.*")
+    rows = common.written(measured(docs, text_col=text_col), "counted-rows")
+    kept = Judge.learned(rows.select(*COUNTS)).verdicts(rows).where("kept")
+    return kept.select(*[common.named(c, "row") for c in docs.columns])
