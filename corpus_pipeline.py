@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps,
 with the columns of ``documents``; the last returns packed pieces.  Stages are
 written as Parquet and read again, so a lost executor costs no finished stage.
+
+Cases: null, empty and very short texts fail the base rules; a document whose
+every line a document of smaller id holds is empty after line dedup and goes; of
+near-duplicates the smallest id stays, of rows of one id one row, and rows
+without an id are documents of their own; an empty table gives an empty result,
+an empty benchmark drops nothing; other columns are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -22,9 +28,10 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without lines that one of smaller id holds; ``n_chars`` follows the text."""
+    """Documents without lines that one of smaller id holds; ``n_chars`` follows the text, and those of which nothing is left go."""
     kept = line_dedup.dedup_lines(docs)
-    return kept.select(*[F.char_length("text").cast(t).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, t in docs.dtypes])
+    kept = kept.where((F.col("n_dropped") == 0) | (F.length(F.trim("text", F.lit(common.BLANKS))) > 0))
+    return kept.select(*[F.char_length("text").cast(t).alias(c) if c == "n_chars" else common.named(c) for c, t in docs.dtypes])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
